@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word of the original text, whose A-Z aren't lower-cased yet.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of UTF-8: A-Z to a-z; what isn't a digit, letter or part of a non-ASCII character to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
