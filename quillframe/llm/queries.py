@@ -10,12 +10,31 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import contamination
 from .exact import exact_dedup
+from .html import extract_main_text
+from .langid import detect_languages, fit_languages
+from .quality import fit_quality, score_quality
+from .tokens import count_tokens
 from .urls import url_filter
 
 #: (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def fold(id_col: str, parts: int):
+    """The fold of a row: crc32 of its id as text, modulo ``parts``."""
+    return F.crc32(F.col(id_col).cast("string")) % parts
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(spark, docs.where(fold("doc_id", 3) != 1))
+    return detect_languages(spark, docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -24,6 +43,20 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark, table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def quality_model(spark: SparkSession, sf_dir: str):
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    return fit_quality(spark, table(spark, sf_dir, "documents"), labels)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_quality(spark, table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["behind"] - s["first"])
@@ -38,7 +71,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op6_url_filter, op10_decontamination)}
+    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op5_exact_dedup, op6_url_filter, op8_html_extraction, op9_quality, op10_decontamination)}
 
 
 _OP5_SQL = r"""
