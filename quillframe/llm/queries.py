@@ -11,7 +11,9 @@ from .common import table
 from .decontam import contamination
 from .exact import exact_dedup
 from .html import extract_main_text
+from .jaccard import similarity_components
 from .langid import detect_languages, fit_languages
+from .mixing import soft_mix
 from .quality import fit_quality, score_quality
 from .tokens import count_tokens
 from .urls import url_filter
@@ -25,6 +27,19 @@ def fold(id_col: str, parts: int):
     return F.crc32(F.col(id_col).cast("string")) % parts
 
 
+#: The weights of the languages' tokens.
+MIX_TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+
+
+def mix_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table of the mix: the documents that ``labels`` names, with their language as domain."""
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return soft_mix(table(spark, sf_dir, "documents"), mix_labels(spark, sf_dir), MIX_TARGETS)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_languages(spark, docs.where(fold("doc_id", 3) != 1))
@@ -35,6 +50,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -71,8 +90,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op5_exact_dedup, op6_url_filter, op8_html_extraction, op9_quality, op10_decontamination)}
-
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_token_counts, op4_jaccard_join, op5_exact_dedup, op6_url_filter, op8_html_extraction, op9_quality, op10_decontamination)}
+
+
+_OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, least(4, len(w)) AS k FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+      JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 85 * (na.n + nb.n - o)),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""
 
 _OP5_SQL = r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
@@ -107,4 +137,4 @@ FROM dw LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5_SQL, "op6_url_filter": _OP6_SQL, "op10_decontamination": _OP10_SQL}
+    return {"op4_jaccard_join": _OP4_SQL, "op5_exact_dedup": _OP5_SQL, "op6_url_filter": _OP6_SQL, "op10_decontamination": _OP10_SQL}
