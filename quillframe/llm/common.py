@@ -67,6 +67,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Limit the session's Arrow batches to ``size`` bytes: by rows alone, long texts make huge ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Cut record batches to at most ``rows`` rows, so that Python's copies stay small."""
     for batch in batches:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, small_batches, written
 
 #: The counter table: 2**SLOT_BITS counters, in blocks.
 SLOT_BITS, BLOCK = 21, 1 << 16
@@ -45,7 +45,7 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 class Shingler:
     """Sets of hashed word shingles; remembers the hashes of at most ``keep`` words."""
 
-    def __init__(self, width: int, keep: int = 1 << 19):
+    def __init__(self, width: int, keep: int = 1 << 18):
         self.width, self.keep = width, keep
         self.known: dict[bytes, int] = {}
 
@@ -306,6 +306,7 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
 
     Equality of shingles is equality of their 64-bit hashes.
     """
+    small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     level, frequent = token_levels(source, width, often)
     rows = written(source.mapInArrow(_index(width, spark.sparkContext.broadcast(level), frequent, percent, pairs_up_to), _CLASSED), "jaccard-rows")
