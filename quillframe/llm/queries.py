@@ -15,6 +15,7 @@ from .jaccard import similarity_components
 from .langid import detect_languages, fit_languages
 from .mixing import soft_mix
 from .quality import fit_quality, score_quality
+from .suffix import remove_repeats
 from .tokens import count_tokens
 from .urls import url_filter
 
@@ -62,6 +63,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark, table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -90,7 +96,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_token_counts, op4_jaccard_join, op5_exact_dedup, op6_url_filter, op8_html_extraction, op9_quality, op10_decontamination)}
+    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_token_counts, op4_jaccard_join, op5_exact_dedup, op6_url_filter, op7_repeat_removal, op8_html_extraction, op9_quality, op10_decontamination)}
 
 
 _OP4_SQL = r"""
@@ -122,6 +128,20 @@ m AS (SELECT p.*, rh || rp AS rule, r.verdict, row_number() OVER (PARTITION BY p
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
 
+_OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+hit AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE doc_id > least),
+cut AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS fresh FROM hit),
+run AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM cut),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, k),
+piece AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM (SELECT doc_id, a, b FROM span UNION ALL SELECT doc_id, -1, 0 FROM d)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS k FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id) USING (doc_id)
+"""
+
 _OP10_SQL = r"""
 WITH iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 ik AS (SELECT item_id, w, least(10, len(w)) AS k FROM iw WHERE len(w) > 0),
@@ -137,4 +157,4 @@ FROM dw LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": _OP4_SQL, "op5_exact_dedup": _OP5_SQL, "op6_url_filter": _OP6_SQL, "op10_decontamination": _OP10_SQL}
+    return {"op4_jaccard_join": _OP4_SQL, "op5_exact_dedup": _OP5_SQL, "op6_url_filter": _OP6_SQL, "op7_repeat_removal": _OP7_SQL, "op10_decontamination": _OP10_SQL}
