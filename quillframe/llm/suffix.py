@@ -95,6 +95,13 @@ def _chunks(chunk_bytes: int):
     return run
 
 
+def _covered(first: np.ndarray, behind: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie in any of the ranges."""
+    edge = np.bincount(first, minlength=size + 1).astype(np.int32)
+    edge -= np.bincount(behind, minlength=size + 1).astype(np.int32)
+    return np.cumsum(edge[:-1]) > 0
+
+
 class _Text:
     """A chunk: its bytes, and the document and the place in it of each position."""
 
@@ -116,30 +123,37 @@ class _Text:
         """Starts of strings of ``length`` bytes up to v - 1 bytes before one of the positions ``near``."""
         if not len(near):
             return np.empty(0, np.int64)
-        edge = np.zeros(len(self.bytes) + 1, np.int64)
-        doc = self.document(near)
-        np.add.at(edge, np.maximum(near - COVER_OF + 1, self.starts[doc]), 1)
-        np.add.at(edge, near + 1, -1)
-        at = np.flatnonzero(np.cumsum(edge)[:-1])
+        first = np.maximum(near - COVER_OF + 1, self.starts[self.document(near)])
+        at = np.flatnonzero(_covered(first, near + 1, len(self.bytes)))
         return at[at + length <= self.ends[self.document(at)]]
 
 
-def _runs(found: dict[str, object], name: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+def _runs(name: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
     """Cut sorted names by the ranges of their high bits: (range, first, behind)."""
-    cuts = np.searchsorted(name, (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)) if ranges > 1 else np.empty(0, np.int64)
-    edges = [0, *cuts.tolist(), len(name)]
-    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-        if b > a:
-            yield k, a, b
+    if not len(name):
+        return
+    part = ((name >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(name)]
+    for a, b in zip(edges, edges[1:]):
+        yield int(part[a]), a, b
+
+
+def _groups(name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the names, where each distinct one begins in it, and the group of each place of the order."""
+    order = np.argsort(name)
+    fresh = np.ones(len(name), bool)
+    own = name[order]
+    fresh[1:] = own[1:] != own[:-1]
+    return order, np.flatnonzero(fresh), np.cumsum(fresh) - 1
 
 
 def _table(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct names, the smallest document of each, and the largest."""
     if not len(name):
         return name, doc, doc
-    order = np.argsort(name, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(name[order]) != 0)))
-    return name[order][first], np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+    order, first, _ = _groups(name)
+    doc = doc[order]
+    return name[order[first]], np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
 
 
 #: Names of the sampled tuples are shortened to so many bits: they only rule out, and are sent for every text.
@@ -161,7 +175,7 @@ def _sample_runs(length: int, ranges: int):
                 name, low, high = _table(name, text.ids[text.document(at)])
                 if len(name):
                     # a flag instead of the documents: whether the chunk alone has several
-                    rows = [(chunk.as_py(), k, _pack(name[a:b]), np.packbits(low[a:b] != high[a:b]).tobytes()) for k, a, b in _runs({}, name << np.uint64(64 - SHORT), ranges)]
+                    rows = [(chunk.as_py(), k, _pack(name[a:b]), np.packbits(low[a:b] != high[a:b]).tobytes()) for k, a, b in _runs(name << np.uint64(64 - SHORT), ranges)]
                     yield _send(rows)
 
     return run
@@ -202,7 +216,7 @@ def _bits_of(parts: list[dict], name: np.ndarray, ranges: int) -> np.ndarray:
     """The answers to a chunk's runs as one flag for each of its sorted names."""
     bits = np.zeros(len(name), bool)
     got = {p["part"]: p["bits"] for p in parts}
-    for k, a, b in _runs({}, name, ranges):
+    for k, a, b in _runs(name, ranges):
         bits[a:b] = np.unpackbits(np.frombuffer(got[k], np.uint8), count=b - a).astype(bool)
     return bits
 
@@ -212,9 +226,9 @@ def _window_names(text: _Text, parts: list[dict] | None, length: int, ranges: in
     short = length - COVER_OF + 1
     at = text.sampled(short)
     name = names(text.bytes, at, short) >> np.uint64(64 - SHORT)
-    distinct = np.unique(name)
-    bits = _bits_of(parts or [], distinct << np.uint64(64 - SHORT), ranges) if len(distinct) else np.empty(0, bool)
-    near = at[bits[np.searchsorted(distinct, name)]] if len(at) else at
+    order, first, group = _groups(name)
+    bits = _bits_of(parts or [], name[order[first]] << np.uint64(64 - SHORT), ranges)
+    near = at[order[bits[group]]]
     window = text.windows(near, length)
     return window, names(text.bytes, window, length)
 
@@ -228,7 +242,7 @@ def _window_runs(length: int, ranges: int):
                 name, low, _ = _table(name, text.ids[text.document(window)])
                 if len(name):
                     rows = []
-                    for k, a, b in _runs({}, name, ranges):
+                    for k, a, b in _runs(name, ranges):
                         docs, place = np.unique(low[a:b], return_inverse=True)
                         place = place.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)
                         planes = np.ascontiguousarray(place.view(np.uint8).reshape(b - a, -1).T).tobytes()
@@ -269,17 +283,16 @@ def _remove(length: int, ranges: int):
             for ids, sizes, packed, shared, earlier in zip(*batch.columns):
                 keys = ids.as_py()
                 text = _Text(keys, sizes.as_py(), packed.as_py())
-                gone = np.zeros(len(text.bytes) + 1, np.int64)
+                covered = np.zeros(len(text.bytes), bool)
                 if shared.as_py():
                     window, name = _window_names(text, shared.as_py(), length, ranges)
-                    doc = text.ids[text.document(window)]
-                    distinct, low, _ = _table(name, doc)
-                    before = _bits_of(earlier.as_py() or [], distinct, ranges)
-                    place = np.searchsorted(distinct, name)
-                    hit = window[before[place] | (low[place] < doc)] if len(window) else window
-                    np.add.at(gone, hit, 1)
-                    np.add.at(gone, hit + length, -1)
-                covered = np.cumsum(gone)[:-1] > 0
+                    order, first, group = _groups(name)
+                    if len(order):
+                        doc = text.ids[text.document(window)][order]
+                        low = np.minimum.reduceat(doc, first)
+                        before = _bits_of(earlier.as_py() or [], name[order[first]], ranges)
+                        hit = window[order[before[group] | (low[group] < doc)]]
+                        covered = _covered(hit, hit + length, len(text.bytes))
                 data = np.frombuffer(text.bytes, np.uint8)
                 out = []
                 for key, a, b in zip(keys, text.starts.tolist(), text.ends.tolist()):
@@ -297,7 +310,7 @@ def _free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, chunk_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, spans, kept_sha256``.
 
     Texts count as UTF-8 bytes. Every byte that lies in a string of ``length`` bytes (38 at
@@ -312,7 +325,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, chunk
     small_batches(spark, 16 << 20)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chunks = written(source.mapInArrow(_chunks(chunk_bytes), _CHUNK), "suffix-chunks")
-    ranges = max(16, 2 * int(chunks.count()))  # a range holds about as many names as half a chunk
+    ranges = max(16, int(chunks.count()) // 4)  # so a range has about as many names as four chunks
     short = length - COVER_OF + 1
 
     def met(runs: DataFrame, answer) -> DataFrame:
