@@ -36,7 +36,8 @@ class Domains:
 
 def words_of(text: Column) -> Column:
     """The words between white space; null has none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    bare = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare != "", F.split(bare, r"\s+")).otherwise(F.array().cast("array<string>"))
 
 
 def bucket_of(word: Column, buckets: int) -> Column:
@@ -64,26 +65,20 @@ def _sum_at(places: Column, values: list[float]) -> Column:
     return F.aggregate(places, F.lit(0.0), lambda acc, k: acc + F.element_at(table, k))
 
 
-def posteriors(model: Domains, text: Column) -> tuple[Column, list[Column]]:
-    """Number of words and posterior of each domain.
+def with_membership(docs: DataFrame, model: Domains, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``n_tokens`` and ``p_<domain>``; columns of these names are replaced.
 
     The log likelihoods are divided by the square root of the number of words: words repeat each
     other's evidence, and mixed texts keep a mixed membership. Without words the prior is left.
     """
-    places = F.transform(words_of(text), lambda w: bucket_of(w, model.buckets) + 1)
-    # the mean over the domains cancels out, so the numbers stay small
-    mean = np.mean(model.rates, axis=0)
-    sums = [_sum_at(places, rates) for rates in (np.array(model.rates) - mean).tolist()]
-    return F.size(places).cast("long"), sums
-
-
-def with_membership(docs: DataFrame, model: Domains, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens`` and ``p_<domain>``; columns of these names are replaced."""
-    n, sums = posteriors(model, F.col(text_col).cast("string"))
     new = "_member"
     while new in docs.columns:
         new += "_"
-    out = docs.withColumn(new, F.struct(n.alias("n"), *[s.alias(f"s{k}") for k, s in enumerate(sums)]))
+    # a projection of its own, as several expressions read the places
+    out = docs.withColumn(new, F.transform(words_of(F.col(text_col).cast("string")), lambda w: bucket_of(w, model.buckets) + 1))
+    rates = np.array(model.rates)
+    sums = [_sum_at(F.col(new), r) for r in (rates[:-1] - rates[-1]).tolist()] + [F.lit(0.0)]  # only differences matter
+    out = out.withColumn(new, F.struct(F.size(new).cast("long").alias("n"), *[s.alias(f"s{k}") for k, s in enumerate(sums)]))
     scale = F.sqrt(F.greatest(F.col(f"{new}.n"), F.lit(1)).cast("double"))
     logs = [F.col(f"{new}.s{k}") / scale + F.lit(p) for k, p in enumerate(model.prior)]
     out = out.withColumn(new, F.struct(F.col(f"{new}.n").alias("n"), F.greatest(*logs, F.lit(-1e300)).alias("top"), *[x.alias(f"s{k}") for k, x in enumerate(logs)]))
