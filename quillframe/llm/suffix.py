@@ -14,7 +14,7 @@ sorting by a difference cover:
 4. *adjacent prefixes*: equal neighbours are equal strings, whose smallest document keeps them.
 
 With v = 3, the sampled triples of the plain algorithm, two thirds of all bytes would become
-rows; v = 31 has 6 residues in 31. Rows aren't suffixes but sorted runs of one chunk and one
+rows; v = 13 has 4 residues in 13. Rows aren't suffixes but sorted runs of one chunk and one
 range, coded as differences; the answer to a run is one bit for each of its names.
 
 Names are 64-bit hashes of the bytes, and equal names are taken for equal strings.
@@ -22,6 +22,7 @@ Names are 64-bit hashes of the bytes, and equal names are taken for equal string
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 
 #: A perfect difference set: every residue is a difference of two of its members.
-COVER, COVER_OF = (1, 5, 11, 24, 25, 27), 31
+COVER, COVER_OF = (0, 1, 3, 9), 13
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _LAST = np.iinfo(np.int64).max
 
@@ -246,17 +247,16 @@ def _window_runs(length: int, ranges: int):
                         docs, place = np.unique(low[a:b], return_inverse=True)
                         place = place.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)
                         planes = np.ascontiguousarray(place.view(np.uint8).reshape(b - a, -1).T).tobytes()
-                        rows.append((chunk.as_py(), k, _pack(name[a:b]), zstandard.compress(len(docs).to_bytes(8, "little") + docs.tobytes() + planes, 1)))
+                        rows.append((chunk.as_py(), k, _pack(name[a:b]), len(ids := _pack(docs)).to_bytes(8, "little") + ids + zstandard.compress(planes, 1)))
                     yield _send(rows)
 
     return run
 
 
 def _docs_of(data: bytes, n: int) -> np.ndarray:
-    data = zstandard.decompress(data)
-    k = int.from_bytes(data[:8], "little")
-    docs = np.frombuffer(data, np.int64, k, 8)
-    planes = np.frombuffer(data, np.uint8, -1, 8 + 8 * k).reshape(-1, n)
+    size = int.from_bytes(data[:8], "little")
+    docs = _unpack(data[8 : 8 + size]).view(np.int64)
+    planes = np.frombuffer(zstandard.decompress(data[8 + size :]), np.uint8).reshape(-1, n)
     return docs[np.ascontiguousarray(planes.T).view(np.uint16 if len(planes) == 2 else np.uint32).ravel()]
 
 
@@ -307,13 +307,14 @@ def _remove(length: int, ranges: int):
 
 def _free(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of frames that nobody holds any more."""
+    gc.collect()
     spark._jvm.System.gc()
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, chunk_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, spans, kept_sha256``.
 
-    Texts count as UTF-8 bytes. Every byte that lies in a string of ``length`` bytes (38 at
+    Texts count as UTF-8 bytes. Every byte that lies in a string of ``length`` bytes (20 at
     least) which also starts in a document with a smaller id is removed; strings don't cross
     documents and are judged on the input. ``spans``: the removed runs (start, stop);
     ``kept_sha256``: the digest of the bytes that are left. A null text is empty. A row without
