@@ -13,6 +13,9 @@ sorting by a difference cover:
 3. *merge*: sorted runs of these names, with their smallest document, meet by ranges;
 4. *adjacent prefixes*: equal neighbours are equal strings, whose smallest document keeps them.
 
+Documents that equal one with a smaller id are left out of these steps, as that one stands for
+them: all their strings start there too.
+
 With v = 3, the sampled triples of the plain algorithm, two thirds of all bytes would become
 rows; v = 13 has 4 residues in 13. Rows aren't suffixes but sorted runs of one chunk and one
 range, coded as differences; the answer to a run is one bit for each of its names.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,12 +69,12 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-_CHUNK = "chunk long, ids array<long>, sizes array<long>, packed binary"
+_CHUNK = "chunk long, ids array<long>, sizes array<long>, digests array<binary>, packed binary"
 
 
 def _chunks(chunk_bytes: int):
     """Documents as rows of up to ``chunk_bytes`` bytes of text (a longer one is a row of its own)."""
-    kind = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("packed", pa.binary())])
+    kind = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 33
@@ -79,7 +83,7 @@ def _chunks(chunk_bytes: int):
         size = 0
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([chunk], [ids], [list(map(len, texts))], [zstandard.compress(b"".join(texts), 3)]), kind)], schema=kind)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([chunk], [ids], [list(map(len, texts))], [[hashlib.blake2b(t, digest_size=16).digest() for t in texts]], [zstandard.compress(b"".join(texts), 6)]), kind)], schema=kind)
 
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1)):
@@ -106,7 +110,9 @@ def _covered(first: np.ndarray, behind: np.ndarray, size: int) -> np.ndarray:
 class _Text:
     """A chunk: its bytes, and the document and the place in it of each position."""
 
-    def __init__(self, ids: list[int | None], sizes: list[int], packed: bytes):
+    def __init__(self, ids: list[int | None], sizes: list[int], packed: bytes, copies: list[int] | None = None):
+        self.copy = np.zeros(len(ids), bool)  # equal to a document with a smaller id
+        self.copy[copies or []] = True
         self.bytes = zstandard.decompress(packed)
         self.ids = np.array([_LAST if i is None else i for i in ids], np.int64)  # a row without an id comes last
         self.ends = np.cumsum(sizes)
@@ -117,7 +123,8 @@ class _Text:
 
     def sampled(self, length: int) -> np.ndarray:
         """Positions with residues in the cover, within their document, that ``length`` bytes follow."""
-        out = [np.arange(s + r, e - length + 1, COVER_OF) for s, e in zip(self.starts.tolist(), self.ends.tolist()) for r in COVER if s + r <= e - length]
+        own = zip(self.starts[~self.copy].tolist(), self.ends[~self.copy].tolist())
+        out = [np.arange(s + r, e - length + 1, COVER_OF) for s, e in own for r in COVER if s + r <= e - length]
         return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
 
     def windows(self, near: np.ndarray, length: int) -> np.ndarray:
@@ -169,8 +176,8 @@ def _send(rows: list[tuple]) -> pa.RecordBatch:
 def _sample_runs(length: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, ids, sizes, packed in zip(*batch.columns):
-                text = _Text(ids.as_py(), sizes.as_py(), packed.as_py())
+            for chunk, ids, sizes, packed, copies in zip(*batch.columns):
+                text = _Text(ids.as_py(), sizes.as_py(), packed.as_py(), copies.as_py())
                 at = text.sampled(length - COVER_OF + 1)
                 name = names(text.bytes, at, length - COVER_OF + 1) >> np.uint64(64 - SHORT)
                 name, low, high = _table(name, text.ids[text.document(at)])
@@ -237,8 +244,8 @@ def _window_names(text: _Text, parts: list[dict] | None, length: int, ranges: in
 def _window_runs(length: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, ids, sizes, packed, parts in zip(*batch.columns):
-                text = _Text(ids.as_py(), sizes.as_py(), packed.as_py())
+            for chunk, ids, sizes, packed, copies, parts in zip(*batch.columns):
+                text = _Text(ids.as_py(), sizes.as_py(), packed.as_py(), copies.as_py())
                 window, name = _window_names(text, parts.as_py(), length, ranges)
                 name, low, _ = _table(name, text.ids[text.document(window)])
                 if len(name):
@@ -280,9 +287,9 @@ _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_rem
 def _remove(length: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sizes, packed, shared, earlier in zip(*batch.columns):
+            for ids, sizes, packed, copies, shared, earlier in zip(*batch.columns):
                 keys = ids.as_py()
-                text = _Text(keys, sizes.as_py(), packed.as_py())
+                text = _Text(keys, sizes.as_py(), packed.as_py(), copies.as_py())
                 covered = np.zeros(len(text.bytes), bool)
                 if shared.as_py():
                     window, name = _window_names(text, shared.as_py(), length, ranges)
@@ -293,6 +300,8 @@ def _remove(length: int, ranges: int):
                         before = _bits_of(earlier.as_py() or [], name[order[first]], ranges)
                         hit = window[order[before[group] | (low[group] < doc)]]
                         covered = _covered(hit, hit + length, len(text.bytes))
+                for a, b in zip(text.starts[text.copy].tolist(), text.ends[text.copy].tolist()):
+                    covered[a:b] = b - a >= length
                 data = np.frombuffer(text.bytes, np.uint8)
                 out = []
                 for key, a, b in zip(keys, text.starts.tolist(), text.ends.tolist()):
@@ -307,8 +316,10 @@ def _remove(length: int, ranges: int):
 
 def _free(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of frames that nobody holds any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of the frames, the second of what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, chunk_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,6 +340,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, chunk
     ranges = max(16, int(chunks.count()) // 4)  # so a range has about as many names as four chunks
     short = length - COVER_OF + 1
 
+    row = F.posexplode(F.arrays_zip("ids", "digests")).alias("place", "row")
+    own = chunks.select("chunk", row).select("chunk", "place", F.coalesce("row.ids", F.lit(_LAST)).alias("id"), F.col("row.digests").alias("digest"))
+    least = own.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    copies = written(own.join(least, "digest").where("id > least").groupBy("chunk").agg(F.collect_list("place").alias("copies")), "suffix-copies")
+
     def met(runs: DataFrame, answer) -> DataFrame:
         """The answers to the runs, by chunk."""
         dealt = runs.repartition(ranges, "part").sortWithinPartitions("part")
@@ -337,10 +353,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, chunk
     def by_chunk(answers: DataFrame, name: str) -> DataFrame:
         return answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias(name))
 
-    shared = met(chunks.mapInArrow(_sample_runs(length, ranges), _RUN), _shared_names)
+    first = chunks.drop("digests").join(copies, "chunk", "left").select("chunk", "ids", "sizes", "packed", "copies")
+    shared = met(first.mapInArrow(_sample_runs(length, ranges), _RUN), _shared_names)
     _free(spark)
-    again = chunks.join(by_chunk(shared, "shared"), "chunk", "left").select("chunk", "ids", "sizes", "packed", "shared")
+    again = first.join(by_chunk(shared, "shared"), "chunk", "left").select("chunk", "ids", "sizes", "packed", "copies", "shared")
     earlier = met(again.mapInArrow(_window_runs(length, ranges), _RUN), _earlier)
     _free(spark)
-    last = chunks.join(by_chunk(shared, "shared"), "chunk", "left").join(by_chunk(earlier, "earlier"), "chunk", "left").select("ids", "sizes", "packed", "shared", "earlier")
+    last = again.join(by_chunk(earlier, "earlier"), "chunk", "left").select("ids", "sizes", "packed", "copies", "shared", "earlier")
     return last.mapInArrow(_remove(length, ranges), _OUT)
