@@ -4,9 +4,9 @@ Every stage compares the full content, digests only route rows:
 
 1. *local*: each input partition folds its equal texts into one entry (content, winner,
    members) and writes it to a table in the shared folder;
-2. *salted*: entries meet by (digest, salt), where the salt follows the input partition, so
-   that one hot text is spread over ``salts`` groups;
-3. *global*: the salt winners of a digest, at most ``salts`` a text, meet and give the winner.
+2. *salted*: entries meet by (digest, salt), where the salt follows the input partition. A digest
+   of many entries has as many salts as the square root of their number, any other has one;
+3. *global*: the salt winners of a digest that has several meet and give the winner.
 
 Members never travel with the content. They are joined back by their entry's key, of which
 there is one for each partition and text, so no join key is hotter than one input partition.
@@ -78,7 +78,7 @@ def _fold(held_bytes: int):
     return entries
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, held_bytes: int = 48 << 20) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt_from: int = 64, broadcast_rows: int = 100_000, held_bytes: int = 48 << 20) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after deleting space, tab, line feed, vertical tab, form
@@ -87,23 +87,30 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     are one group. A null id loses against any other. Of rows that repeat an id and a text one
     stays. An empty table gives an empty result; other columns are not read.
 
-    ``salts``: how many groups a hot text is spread over. ``held_bytes``: the content that a
+    ``salt_from``: the number of entries from which a digest is salted;
+    the table of these is broadcast up to ``broadcast_rows`` rows. ``held_bytes``: the content that a
     task holds before it passes its entries on; equal texts that are passed on separately meet
     again in the salted stage, so the result doesn't depend on it.
     """
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     entries = written(source.mapInArrow(_fold(held_bytes), _ENTRY), "exact")
     rank = F.struct((-F.col("n")).alias("n"), F.col("best").isNull().alias("no_id"), F.col("best"), F.col("uid"))
+    # Digests of many entries: at most one in ``salt_from`` entries, mostly few or none.
+    hot = written(entries.groupBy("digest").agg(F.count("*").alias("entries")).where(F.col("entries") > salt_from).select("digest", F.ceil(F.sqrt("entries")).alias("salts")), "hot")
+    if hot.count() <= broadcast_rows:
+        hot = F.broadcast(hot)
     salted = (
-        entries.select("digest", "content", "uid", "cnt", rank.alias("rank"), F.pmod(F.shiftright("uid", 33), F.lit(salts)).alias("salt"))
+        entries.select("digest", "content", "uid", "cnt", rank.alias("rank"))
+        .join(hot, "digest", "left")
+        .select("digest", "content", "uid", "cnt", "rank", F.coalesce("salts", F.lit(1)).alias("salts"))
+        .withColumn("salt", F.pmod(F.shiftright("uid", 33), F.col("salts")))
         .repartition("digest", "salt")
-        .groupBy("digest", "salt", "content")
-        .agg(F.min("rank").alias("rank"), F.sum("cnt").alias("cnt"), F.collect_list("uid").alias("uids"))
+        .groupBy("digest", "salts", "salt", "content")
+        .agg(F.min("rank").alias("top"), F.sum("cnt").alias("group_size"), F.collect_list("uid").alias("uids"))
     )
     equal = Window.partitionBy("digest", "content")
-    winners = salted.repartition("digest").select(
-        F.explode("uids").alias("uid"), F.min("rank").over(equal).alias("top"), F.sum("cnt").over(equal).alias("group_size")
-    )
+    merged = salted.where("salts > 1").repartition("digest").select("uids", F.min("top").over(equal).alias("top"), F.sum("group_size").over(equal).alias("group_size"))
+    winners = salted.where("salts = 1").select("uids", "top", "group_size").unionByName(merged).select(F.explode("uids").alias("uid"), "top", "group_size")
     rows = F.concat(
         F.array(F.struct(F.col("best").alias("id"), (F.col("uid") == F.col("top.uid")).alias("kept"))),
         F.transform("members", lambda m: F.struct(m.alias("id"), F.lit(False).alias("kept"))),
