@@ -7,10 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
 _written: list[str] = []
+_kept: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,18 +36,35 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, per_core: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    It cuts the lineage: a lost executor costs the tasks that were running, not the table.
+    It cuts the lineage: a lost executor costs the tasks that were running, not the table, and
+    the shuffle files before it can go. ``per_core``: files for each core of the cluster at most.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    if per_core:
+        df = df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Keep the rows of ``df`` on the executors' disks once they are worked out.
+
+    For what is read several times but can be worked out again from written tables: what is lost
+    with an executor comes back from the lineage. Unlike a table it makes no files in the shared
+    folder, of which small frames would make one for each partition.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    _kept.append(df)
+    return df
+
+
 def release(spark: SparkSession) -> None:
-    """Delete the tables written so far. Frames that still read them can't be used any more."""
+    """Let go of kept frames and delete the tables written so far; frames that read them can't be used any more."""
+    while _kept:
+        _kept.pop().unpersist()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, written
+from .common import kept, slices, small_batches, written
 
 #: The counter table: 2**SLOT_BITS counters, in blocks.
 SLOT_BITS, BLOCK = 21, 1 << 16
@@ -271,17 +271,22 @@ def _verify(percent: int):
 def components(links: DataFrame) -> DataFrame:
     """``node, label``: the smallest node that each node of the links (a, b) can reach.
 
-    Each round takes the smallest label of a node's neighbours and then follows the labels once;
-    the frame is written between rounds, and only a number comes to the driver.
+    A step takes the smallest label of a node's neighbours and then follows the labels once.
+    After every other step the labels are written, and only a number comes to the driver.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
-    while True:
+    both = links.select("a", "b").union(links.select("b", "a")).where("a <> b")
+    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label"))
+
+    def step(label: DataFrame) -> DataFrame:
         heard = both.join(label, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        low = label.join(heard, "node").select("node", F.least("label", "heard").alias("low"), F.col("label").alias("old"))
+        low = label.join(heard, "node").select("node", F.least("label", "heard").alias("low"))
         up = label.select(F.col("node").alias("low"), F.col("label").alias("up"))
-        new = written(low.join(up, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("label"), "old"), "labels")
-        changed = new.where("label <> old").limit(1).count()
+        return low.join(up, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("label"))
+
+    while True:
+        new = step(step(label)).join(label.withColumnRenamed("label", "old"), "node")
+        new = written(new, "components", per_core=1)
+        changed = new.where("label <> old").count()
         label = new.select("node", "label")
         if not changed:
             return label
@@ -309,7 +314,7 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     level, frequent = token_levels(source, width, often)
-    rows = written(source.mapInArrow(_index(width, spark.sparkContext.broadcast(level), frequent, percent, pairs_up_to), _CLASSED), "jaccard-rows")
+    rows = written(source.mapInArrow(_index(width, spark.sparkContext.broadcast(level), frequent, percent, pairs_up_to), _CLASSED), "jaccard-rows", per_core=4)
     code = F.xxhash64("digest")
 
     # Equal sets are one class, named after one of its rows, one with an id if there is any.
@@ -322,18 +327,18 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
     entries = rows.select(code.alias("code"), F.explode("keys").alias("key"))
     lists = entries.groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low <> high").select("key")
     shared = entries.join(lists, "key", "left_semi").distinct()
-    entry = written(shared.join(named, "code").select("key", "cls", "doc_id", "digest", "n", "bits"), "jaccard-entries")
-
-    wanted = entry.select("cls", "doc_id", "digest").distinct()
+    entry = written(shared.join(named.select("code", "cls"), "code").select("key", "cls"), "jaccard-entries", per_core=1)
+    listed = written(named.join(entry.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id", "digest", "n", "bits"), "jaccard-listed", per_core=1)
+    wanted = listed.select("cls", "doc_id", "digest")
     packed = source.where("doc_id is not null").mapInArrow(_squeeze, "doc_id long, packed binary")
-    sets = written(packed.join(wanted, "doc_id").select("cls", "digest", "packed").mapInArrow(_sets(width), "cls long, tokens binary"), "jaccard-sets")
+    sets = written(packed.join(wanted, "doc_id").select("cls", "digest", "packed").mapInArrow(_sets(width), "cls long, tokens binary"), "jaccard-sets", per_core=2)
 
     # Blocks, twice: by the largest list of a class and, for lists with several components, dealt anew.
     count = entry.groupBy("key").agg(F.count("*").alias("size"))
     links: DataFrame | None = None
     label: DataFrame | None = None
     for turn in range(2):
-        own = entry.select("key", "cls")
+        own = entry
         if label is not None:
             own = _open(own, label).select("key", "cls")
             count = own.groupBy("key").agg(F.count("*").alias("size"))
@@ -342,12 +347,12 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
         salts = F.ceil(F.col("home.size") / block_rows)
         dealt = home.select("cls", F.col("home.key").alias("home"), F.pmod(F.xxhash64("cls", F.lit(turn)), salts).alias("salt"))
         block = dealt.join(sets, "cls").select("home", "salt", "cls", "tokens").repartition("home", "salt").sortWithinPartitions("home", "salt", "cls")
-        found = written(block.mapInArrow(_blocks(percent), "a long, b long"), "jaccard-links")
+        found = written(block.mapInArrow(_blocks(percent), "a long, b long"), "jaccard-links", per_core=1)
         links = found if links is None else links.union(found)
         label = components(links)
 
     # The rest: what is outside the largest component of its list meets the others of the list.
-    marked = written(_open(entry.select("key", "cls", "n", "bits"), label), "jaccard-rest")
+    marked = kept(_open(entry, label).join(listed.select("cls", "n", "bits"), "cls"))
     largest = marked.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
     outside = marked.join(largest, "key").where("label <> top").select("key", "cls", "n", "bits", "label", F.lit(True).alias("outside"))
     others = marked.join(largest, "key").select("key", "cls", "n", "bits", "label", (F.col("label") != F.col("top")).alias("outside"))
@@ -355,7 +360,7 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
     once = (~F.col("y.outside")) | (F.col("x.cls") < F.col("y.cls"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _near_bits(percent)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
-    rest = written(both.mapInArrow(_verify(percent), "a long, b long"), "jaccard-links")
+    rest = written(both.mapInArrow(_verify(percent), "a long, b long"), "jaccard-links", per_core=1)
     label = components(links.union(rest))
 
     member = named.select("digest", "cls", "least").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("digest", "least", F.coalesce("label", "cls").alias("component"))

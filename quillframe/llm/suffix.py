@@ -343,21 +343,19 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, chunk
     row = F.posexplode(F.arrays_zip("ids", "digests")).alias("place", "row")
     own = chunks.select("chunk", row).select("chunk", "place", F.coalesce("row.ids", F.lit(_LAST)).alias("id"), F.col("row.digests").alias("digest"))
     least = own.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    copies = written(own.join(least, "digest").where("id > least").groupBy("chunk").agg(F.collect_list("place").alias("copies")), "suffix-copies")
+    copies = written(own.join(least, "digest").where("id > least").groupBy("chunk").agg(F.collect_list("place").alias("copies")), "suffix-copies", per_core=1)
 
-    def met(runs: DataFrame, answer) -> DataFrame:
-        """The answers to the runs, by chunk."""
+    def met(runs: DataFrame, answer, name: str) -> DataFrame:
+        """The answers to the runs, one row for each chunk."""
         dealt = runs.repartition(ranges, "part").sortWithinPartitions("part")
-        return written(dealt.mapInArrow(answer, _RUN).select("chunk", "part", F.col("names").alias("bits")), "suffix-answers")
-
-    def by_chunk(answers: DataFrame, name: str) -> DataFrame:
-        return answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias(name))
+        bits = dealt.mapInArrow(answer, _RUN).select("chunk", "part", F.col("names").alias("bits"))
+        return written(bits.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias(name)), f"suffix-{name}", per_core=1)
 
     first = chunks.drop("digests").join(copies, "chunk", "left").select("chunk", "ids", "sizes", "packed", "copies")
-    shared = met(first.mapInArrow(_sample_runs(length, ranges), _RUN), _shared_names)
+    shared = met(first.mapInArrow(_sample_runs(length, ranges), _RUN), _shared_names, "shared")
     _free(spark)
-    again = first.join(by_chunk(shared, "shared"), "chunk", "left").select("chunk", "ids", "sizes", "packed", "copies", "shared")
-    earlier = met(again.mapInArrow(_window_runs(length, ranges), _RUN), _earlier)
+    again = first.join(shared, "chunk", "left").select("chunk", "ids", "sizes", "packed", "copies", "shared")
+    earlier = met(again.mapInArrow(_window_runs(length, ranges), _RUN), _earlier, "earlier")
     _free(spark)
-    last = again.join(by_chunk(earlier, "earlier"), "chunk", "left").select("ids", "sizes", "packed", "copies", "shared", "earlier")
+    last = again.join(earlier, "chunk", "left").select("ids", "sizes", "packed", "copies", "shared", "earlier")
     return last.mapInArrow(_remove(length, ranges), _OUT)
