@@ -7,7 +7,7 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm import queries as _queries
@@ -26,7 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _only(docs, exact_dedup(docs).where("kept").select("doc_id"))
+    kept = _only(docs, exact_dedup(docs).where("kept").select("doc_id"))
+    # of rows that repeat an id and a text, one
+    same = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
+    return kept.withColumn("kept_row", F.row_number().over(same)).where("kept_row = 1").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

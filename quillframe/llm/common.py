@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
 _written: list[str] = []
-_kept: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,22 +49,19 @@ def written(df: DataFrame, name: str, per_core: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Keep the rows of ``df`` on the executors' disks once they are worked out.
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nobody holds any more, as after a written table.
 
-    For what is read several times but can be worked out again from written tables: what is lost
-    with an executor comes back from the lineage. Unlike a table it makes no files in the shared
-    folder, of which small frames would make one for each partition.
+    It would do so by itself at the driver's next garbage collections, which may come late.
     """
-    df = df.persist(StorageLevel.DISK_ONLY)
-    _kept.append(df)
-    return df
+    for _ in range(2):  # the first round lets go of the frames, the second of what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of kept frames and delete the tables written so far; frames that read them can't be used any more."""
-    while _kept:
-        _kept.pop().unpersist()
+    """Delete the tables written so far; frames that read them can't be used any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())

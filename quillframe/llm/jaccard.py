@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, slices, small_batches, written
+from .common import free_shuffles, slices, small_batches, written
 
 #: The counter table: 2**SLOT_BITS counters, in blocks.
 SLOT_BITS, BLOCK = 21, 1 << 16
@@ -328,10 +328,13 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
     lists = entries.groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low <> high").select("key")
     shared = entries.join(lists, "key", "left_semi").distinct()
     entry = written(shared.join(named.select("code", "cls"), "code").select("key", "cls"), "jaccard-entries", per_core=1)
+    del entries, lists, shared
+    free_shuffles(spark)
     listed = written(named.join(entry.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id", "digest", "n", "bits"), "jaccard-listed", per_core=1)
     wanted = listed.select("cls", "doc_id", "digest")
     packed = source.where("doc_id is not null").mapInArrow(_squeeze, "doc_id long, packed binary")
     sets = written(packed.join(wanted, "doc_id").select("cls", "digest", "packed").mapInArrow(_sets(width), "cls long, tokens binary"), "jaccard-sets", per_core=2)
+    free_shuffles(spark)
 
     # Blocks, twice: by the largest list of a class and, for lists with several components, dealt anew.
     count = entry.groupBy("key").agg(F.count("*").alias("size"))
@@ -348,11 +351,13 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
         dealt = home.select("cls", F.col("home.key").alias("home"), F.pmod(F.xxhash64("cls", F.lit(turn)), salts).alias("salt"))
         block = dealt.join(sets, "cls").select("home", "salt", "cls", "tokens").repartition("home", "salt").sortWithinPartitions("home", "salt", "cls")
         found = written(block.mapInArrow(_blocks(percent), "a long, b long"), "jaccard-links", per_core=1)
+        del block
         links = found if links is None else links.union(found)
         label = components(links)
+        free_shuffles(spark)
 
     # The rest: what is outside the largest component of its list meets the others of the list.
-    marked = kept(_open(entry, label).join(listed.select("cls", "n", "bits"), "cls"))
+    marked = written(_open(entry, label).join(listed.select("cls", "n", "bits"), "cls"), "jaccard-rest", per_core=1)
     largest = marked.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
     outside = marked.join(largest, "key").where("label <> top").select("key", "cls", "n", "bits", "label", F.lit(True).alias("outside"))
     others = marked.join(largest, "key").select("key", "cls", "n", "bits", "label", (F.col("label") != F.col("top")).alias("outside"))
@@ -361,6 +366,8 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _near_bits(percent)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
     rest = written(both.mapInArrow(_verify(percent), "a long, b long"), "jaccard-links", per_core=1)
+    del x, y, outside, others, pairs, both
+    free_shuffles(spark)
     label = components(links.union(rest))
 
     member = named.select("digest", "cls", "least").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("digest", "least", F.coalesce("label", "cls").alias("component"))

@@ -25,9 +25,7 @@ Names are 64-bit hashes of the bytes, and equal names are taken for equal string
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import free_shuffles, small_batches, written
 
 #: A perfect difference set: every residue is a difference of two of its members.
 COVER, COVER_OF = (0, 1, 3, 9), 13
@@ -314,14 +312,6 @@ def _remove(length: int, ranges: int):
     return run
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that nobody holds any more."""
-    for _ in range(2):  # the first round lets go of the frames, the second of what they held
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, chunk_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, spans, kept_sha256``.
 
@@ -353,9 +343,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, chunk
 
     first = chunks.drop("digests").join(copies, "chunk", "left").select("chunk", "ids", "sizes", "packed", "copies")
     shared = met(first.mapInArrow(_sample_runs(length, ranges), _RUN), _shared_names, "shared")
-    _free(spark)
+    free_shuffles(spark)
     again = first.join(shared, "chunk", "left").select("chunk", "ids", "sizes", "packed", "copies", "shared")
     earlier = met(again.mapInArrow(_window_runs(length, ranges), _RUN), _earlier, "earlier")
-    _free(spark)
+    free_shuffles(spark)
     last = again.join(earlier, "chunk", "left").select("ids", "sizes", "packed", "copies", "shared", "earlier")
     return last.mapInArrow(_remove(length, ranges), _OUT)
