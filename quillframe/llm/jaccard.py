@@ -209,61 +209,70 @@ def _index(width: int, shared, frequent: int, percent: int, pairs_up_to: int):
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    small = zstandard.ZstdCompressor(level=1).compress
+    small = zstandard.ZstdCompressor(level=3).compress
     for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([small((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
 
-def _sets(width: int):
-    """The sets of the rows whose text has the wanted digest (rows may share an id)."""
+class _Unpacker:
+    """Sets of packed texts; None where the text isn't the one with the wanted digest (rows may share an id)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch in slices(batches, 256):
-            out = []
-            for cls, digest, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                s = shingler.set_of(zstandard.decompress(packed).decode("utf-8", "surrogatepass"))
-                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:
-                    out.append((cls, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["cls", "tokens"])
+    def __init__(self, width: int):
+        self.shingler = Shingler(width)
 
-    return run
+    def set_of(self, packed: bytes, digest: bytes) -> np.ndarray | None:
+        s = self.shingler.set_of(zstandard.decompress(packed).decode("utf-8", "surrogatepass"))
+        return s if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest else None
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
-def _blocks(percent: int):
+def _blocks(width: int, percent: int):
     """Link the rows of each block; rows of a block stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-            once = dict(zip(ids, sets))  # repeated rows give a class twice
-            ids, sets = list(once), list(once.values())
-            return [(ids[k], ids[low]) for k, low in enumerate(link_block(sets, percent)) if low != k]
+        unpacker = _Unpacker(width)
+        block, sets = None, {}
+
+        def linked() -> list[tuple[int, int]]:
+            ids = list(sets)
+            return [(ids[k], ids[low]) for k, low in enumerate(link_block(list(sets.values()), percent)) if low != k] if len(ids) > 1 else []
 
-        block, ids, sets = None, [], []
         for batch in slices(batches, 256):
             out: list[tuple[int, int]] = []
-            for home, salt, cls, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for home, salt, cls, digest, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if (home, salt) != block:
-                    out += linked(ids, sets) if len(ids) > 1 else []
-                    block, ids, sets = (home, salt), [], []
-                ids.append(cls)
-                sets.append(np.frombuffer(tokens, np.uint64))
+                    out += linked()
+                    block, sets = (home, salt), {}
+                s = unpacker.set_of(packed, digest)
+                if s is not None:
+                    sets[cls] = s
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
-        if len(ids) > 1 and (out := linked(ids, sets)):
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+                yield _links(out)
+        if out := linked():
+            yield _links(out)
 
     return run
 
 
-def _verify(percent: int):
+def _verify(width: int, percent: int):
+    """The pairs that reach the threshold; rows of a stand together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = _Unpacker(width)
+        last, x = None, None
         for batch in slices(batches, 256):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(_near(len(x), len(y), overlap(x, y), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out = []
+            for a, b, da, pa_, db, pb in zip(*(c.to_pylist() for c in batch.columns)):
+                if last != (a, da, pa_):
+                    last, x = (a, da, pa_), unpacker.set_of(pa_, da)
+                y = None if x is None else unpacker.set_of(pb, db)
+                if y is not None and _near(len(x), len(y), overlap(x, y), percent):
+                    out.append((a, b))
+            if out:
+                yield _links(out)
 
     return run
 
@@ -299,7 +308,7 @@ def _near_bits(percent: int) -> Column:
     return (far * (100 + percent) <= (n + m) * (100 - percent)) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
 
-def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = 4, often: int = 256, pairs_up_to: int = 1000, block_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = 4, often: int = 256, pairs_up_to: int = 1000, block_rows: int = 512, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
     A text's set: its distinct shingles of ``width`` words, A-Z lower-cased, words being what
@@ -333,7 +342,7 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
     listed = written(named.join(entry.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id", "digest", "n", "bits"), "jaccard-listed", per_core=1)
     wanted = listed.select("cls", "doc_id", "digest")
     packed = source.where("doc_id is not null").mapInArrow(_squeeze, "doc_id long, packed binary")
-    sets = written(packed.join(wanted, "doc_id").select("cls", "digest", "packed").mapInArrow(_sets(width), "cls long, tokens binary"), "jaccard-sets", per_core=2)
+    texts = written(packed.join(wanted, "doc_id").select("cls", "digest", "packed"), "jaccard-texts", per_core=2)
     free_shuffles(spark)
 
     # Blocks, twice: by the largest list of a class and, for lists with several components, dealt anew.
@@ -348,9 +357,9 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
         best = F.max(F.struct("size", "key"))
         home = own.join(count, "key").groupBy("cls").agg(best.alias("home"))
         salts = F.ceil(F.col("home.size") / block_rows)
-        dealt = home.select("cls", F.col("home.key").alias("home"), F.pmod(F.xxhash64("cls", F.lit(turn)), salts).alias("salt"))
-        block = dealt.join(sets, "cls").select("home", "salt", "cls", "tokens").repartition("home", "salt").sortWithinPartitions("home", "salt", "cls")
-        found = written(block.mapInArrow(_blocks(percent), "a long, b long"), "jaccard-links", per_core=1)
+        dealt = written(home.select("cls", F.col("home.key").alias("home"), F.pmod(F.xxhash64("cls", F.lit(turn)), salts).alias("salt")), "jaccard-dealt", per_core=1)
+        block = texts.join(_small(dealt, broadcast_rows), "cls").select("home", "salt", "cls", "digest", "packed").repartition("home", "salt").sortWithinPartitions("home", "salt", "cls")
+        found = written(block.mapInArrow(_blocks(width, percent), "a long, b long"), "jaccard-links", per_core=1)
         del block
         links = found if links is None else links.union(found)
         label = components(links)
@@ -364,9 +373,13 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
     x, y = outside.alias("x"), others.alias("y")
     once = (~F.col("y.outside")) | (F.col("x.cls") < F.col("y.cls"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _near_bits(percent)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
-    rest = written(both.mapInArrow(_verify(percent), "a long, b long"), "jaccard-links", per_core=1)
-    del x, y, outside, others, pairs, both
+    pairs = written(pairs, "jaccard-pairs", per_core=1)
+    named_in = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    needed = texts.join(_small(named_in, broadcast_rows), "cls", "left_semi")
+    side = lambda n: needed.select(F.col("cls").alias(n), F.col("digest").alias(f"d{n}"), F.col("packed").alias(f"p{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "da", "pa", "db", "pb").sortWithinPartitions("a")
+    rest = written(both.mapInArrow(_verify(width, percent), "a long, b long"), "jaccard-links", per_core=1)
+    del x, y, outside, others, pairs, named_in, needed, both
     free_shuffles(spark)
     label = components(links.union(rest))
 
@@ -380,6 +393,11 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
     )
 
 
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, of a few numbers a row, to be broadcast if it has ``most`` rows at most; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _open(entry: DataFrame, label: DataFrame) -> DataFrame:
     """The entries of lists that hold several components, with their component."""
     named = entry.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
