@@ -60,12 +60,32 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far; frames that read them can't be used any more."""
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete written tables, all if none are named; frames that read them can't be used any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for path in list(_written if paths is None else paths):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def tables() -> list[str]:
+    """The paths written so far."""
+    return list(_written)
+
+
+def reads(df: DataFrame) -> list[str] | None:
+    """The folders and files that ``df`` reads, or None if it reads anything else."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    out = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        roots = leaf.relation().location().rootPaths()
+        out += [roots.apply(k).toString() for k in range(roots.size())]
+    return out
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:

@@ -11,11 +11,13 @@ classes come from a counter table of fixed size; they decide costs only, never t
 Equal sets are one class from the start. Sets that share a key are then verified in steps, so
 that a large group of similar sets needn't be expanded into its pairs:
 
-1. *blocks*: each class goes to its largest list, dealt into blocks of bounded size; a task
-   links the sets of a block exactly, and passes over those that are linked already;
+1. *blocks*: each class goes to one of its largest lists, dealt into blocks of bounded size; a
+   task links the sets of a block exactly, and passes over those that are linked already. Lists
+   with several components are dealt again;
 2. *rest*: of every list that still holds several components, the classes outside its largest
    component meet all others of the list. A parity sketch, whose distance never exceeds that of
-   the sets, rules out most of these pairs inside the join; what is left is verified.
+   the sets, rules out most of these pairs inside the join; what is left is verified, until
+   the components are linked or no pair is left.
 
 Components are found by passing on the smallest label, with pointer jumping.
 """
@@ -38,7 +40,8 @@ from .common import free_shuffles, slices, small_batches, written
 
 #: The counter table: 2**SLOT_BITS counters, in blocks.
 SLOT_BITS, BLOCK = 21, 1 << 16
-SKETCH_WORDS = 8
+#: 64-bit words of a sketch, and of one for a set of more than SKETCH_LONG tokens.
+SKETCH_WORDS, SKETCH_MORE, SKETCH_LONG = 8, 64, 1000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -71,11 +74,12 @@ class Shingler:
         return np.unique(out)
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """One parity bit for each of 64 * SKETCH_WORDS cells; two sketches differ in no more bits than the sets in tokens."""
+def sketch(tokens: np.ndarray, words: int | None = None) -> np.ndarray:
+    """One parity bit for each of 64 * ``words`` cells; two sketches differ in no more bits than the sets in tokens."""
+    words = words or (SKETCH_WORDS if len(tokens) <= SKETCH_LONG else SKETCH_MORE)
     with np.errstate(over="ignore"):
-        cell = (tokens * _MIX[3]) >> np.uint64(64 - (64 * SKETCH_WORDS - 1).bit_length())
-    odd = np.bincount(cell.astype(np.int64), minlength=64 * SKETCH_WORDS).astype(np.uint8) & 1
+        cell = (tokens * _MIX[3]) >> np.uint64(64 - (64 * words - 1).bit_length())
+    odd = np.bincount(cell.astype(np.int64), minlength=64 * words).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
 
@@ -116,19 +120,32 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def link_block(sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each set the position of the smallest set of its component."""
+def link_block(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between sets, by position, that join all components of the block.
+
+    ``known``: labels; sets of a label count as linked. One link is given for each component that
+    becomes part of another.
+    """
     size = np.array([len(s) for s in sets], np.int64)
-    bits = np.array([sketch(s) for s in sets]).view(np.uint64)
-    label = np.arange(len(sets))
+    bits = np.array([sketch(s, SKETCH_WORDS if size.max() <= SKETCH_LONG else SKETCH_MORE) for s in sets]).view(np.uint64)
+    first: dict[int, int] = {}
+    label = np.array([first.setdefault(k, i) for i, k in enumerate(known)]) if known else np.arange(len(sets))
+    links = []
     for i in range(1, len(sets)):
-        far = np.bitwise_count(bits[:i] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        fits = ((100 + percent) * far <= (100 - percent) * (size[:i] + size[i])) & (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i]))
-        for j in np.flatnonzero(fits)[::-1].tolist():
-            if label[j] != label[i] and _near(size[i], size[j], overlap(sets[i], sets[j]), percent):
-                low, high = sorted((label[i], label[j]))
-                label[label == high] = low
-    return label.tolist()
+        while True:
+            other = np.flatnonzero(label[:i] != label[i])
+            if not len(other):
+                break
+            far = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+            fits = other[((100 + percent) * far <= (100 - percent) * (small + large)) & (100 * small >= percent * large)]
+            hit = next((j for j in fits[::-1].tolist() if _near(size[i], size[j], overlap(sets[i], sets[j]), percent)), None)
+            if hit is None:
+                break
+            links.append((i, hit))
+            low, high = sorted((label[i], label[hit]))
+            label[label == high] = low
+    return links
 
 
 def _count_slots(width: int):
@@ -234,21 +251,21 @@ def _blocks(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = _Unpacker(width)
-        block, sets = None, {}
+        block, sets, known = None, {}, {}
 
         def linked() -> list[tuple[int, int]]:
             ids = list(sets)
-            return [(ids[k], ids[low]) for k, low in enumerate(link_block(list(sets.values()), percent)) if low != k] if len(ids) > 1 else []
+            return [(ids[i], ids[j]) for i, j in link_block(list(sets.values()), percent, [known[c] for c in ids])] if len(ids) > 1 else []
 
         for batch in slices(batches, 256):
             out: list[tuple[int, int]] = []
-            for home, salt, cls, digest, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for home, salt, cls, label, digest, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if (home, salt) != block:
                     out += linked()
-                    block, sets = (home, salt), {}
+                    block, sets, known = (home, salt), {}, {}
                 s = unpacker.set_of(packed, digest)
                 if s is not None:
-                    sets[cls] = s
+                    sets[cls], known[cls] = s, label
             if out:
                 yield _links(out)
         if out := linked():
@@ -258,19 +275,23 @@ def _blocks(width: int, percent: int):
 
 
 def _verify(width: int, percent: int):
-    """The pairs that reach the threshold; rows of a stand together."""
+    """Links (a, b) between components, from pairs of sets of which those with the same first set stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = _Unpacker(width)
         last, x = None, None
+        done: set[tuple[int, int]] = set()
         for batch in slices(batches, 256):
             out = []
-            for a, b, da, pa_, db, pb in zip(*(c.to_pylist() for c in batch.columns)):
-                if last != (a, da, pa_):
-                    last, x = (a, da, pa_), unpacker.set_of(pa_, da)
-                y = None if x is None else unpacker.set_of(pb, db)
+            for a, la, lb, da, one, db, two in zip(*(c.to_pylist() for c in batch.columns)):
+                if last != (a, da, one):
+                    last, x, done = (a, da, one), unpacker.set_of(one, da), set()
+                if x is None or (la, lb) in done:
+                    continue
+                y = unpacker.set_of(two, db)
                 if y is not None and _near(len(x), len(y), overlap(x, y), percent):
-                    out.append((a, b))
+                    out.append((la, lb))
+                    done.add((la, lb))
             if out:
                 yield _links(out)
 
@@ -303,12 +324,16 @@ def components(links: DataFrame) -> DataFrame:
 
 def _near_bits(percent: int) -> Column:
     """Whether the sketches and sizes of the entries x and y allow the threshold."""
-    far = reduce(lambda a, b: a + b, [F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(SKETCH_WORDS)])
+    x, y = F.col("x.bits"), F.col("y.bits")
+    few = reduce(lambda a, b: a + b, [F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(SKETCH_WORDS)])
+    many = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, k: acc + k)
+    # sketches of different lengths can't be compared
+    far = F.when((F.size(x) == SKETCH_WORDS) & (F.size(y) == SKETCH_WORDS), few).when(F.size(x) == F.size(y), many).otherwise(F.lit(0))
     n, m = F.col("x.n"), F.col("y.n")
-    return (far * (100 + percent) <= (n + m) * (100 - percent)) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (far * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = 4, often: int = 256, pairs_up_to: int = 1000, block_rows: int = 512, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = 4, often: int = 256, pairs_up_to: int = 1000, block_rows: int = 512, turns: int = 3, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
     A text's set: its distinct shingles of ``width`` words, A-Z lower-cased, words being what
@@ -345,20 +370,17 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
     texts = written(packed.join(wanted, "doc_id").select("cls", "digest", "packed"), "jaccard-texts", per_core=2)
     free_shuffles(spark)
 
-    # Blocks, twice: by the largest list of a class and, for lists with several components, dealt anew.
-    count = entry.groupBy("key").agg(F.count("*").alias("size"))
+    # Blocks, several times: by a large list of a class and, for lists with several components, another one.
     links: DataFrame | None = None
     label: DataFrame | None = None
-    for turn in range(2):
-        own = entry
-        if label is not None:
-            own = _open(own, label).select("key", "cls")
-            count = own.groupBy("key").agg(F.count("*").alias("size"))
-        best = F.max(F.struct("size", "key"))
-        home = own.join(count, "key").groupBy("cls").agg(best.alias("home"))
+    for turn in range(turns):
+        own = entry.withColumn("label", F.col("cls")) if label is None else _open(entry, label)
+        count = own.groupBy("key").agg(F.count("*").alias("size"))
+        best = F.max(F.struct(F.ceil(F.log2("size")).alias("level"), F.xxhash64("key", F.lit(turn)).alias("mix"), "size", "key"))
+        home = own.join(count, "key").groupBy("cls", "label").agg(best.alias("home"))
         salts = F.ceil(F.col("home.size") / block_rows)
-        dealt = written(home.select("cls", F.col("home.key").alias("home"), F.pmod(F.xxhash64("cls", F.lit(turn)), salts).alias("salt")), "jaccard-dealt", per_core=1)
-        block = texts.join(_small(dealt, broadcast_rows), "cls").select("home", "salt", "cls", "digest", "packed").repartition("home", "salt").sortWithinPartitions("home", "salt", "cls")
+        dealt = written(home.select("cls", "label", F.col("home.key").alias("home"), F.pmod(F.xxhash64("cls", F.lit(turn)), salts).alias("salt")), "jaccard-dealt", per_core=1)
+        block = texts.join(_small(dealt, broadcast_rows), "cls").select("home", "salt", "cls", "label", "digest", "packed").repartition("home", "salt").sortWithinPartitions("home", "salt", "cls")
         found = written(block.mapInArrow(_blocks(width, percent), "a long, b long"), "jaccard-links", per_core=1)
         del block
         links = found if links is None else links.union(found)
@@ -372,18 +394,24 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
     others = marked.join(largest, "key").select("key", "cls", "n", "bits", "label", (F.col("label") != F.col("top")).alias("outside"))
     x, y = outside.alias("x"), others.alias("y")
     once = (~F.col("y.outside")) | (F.col("x.cls") < F.col("y.cls"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _near_bits(percent)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    pairs = written(pairs, "jaccard-pairs", per_core=1)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _near_bits(percent))
+    pairs = written(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct(), "jaccard-pairs", per_core=1)
     named_in = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     needed = texts.join(_small(named_in, broadcast_rows), "cls", "left_semi")
     side = lambda n: needed.select(F.col("cls").alias(n), F.col("digest").alias(f"d{n}"), F.col("packed").alias(f"p{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "da", "pa", "db", "pb").sortWithinPartitions("a")
-    rest = written(both.mapInArrow(_verify(width, percent), "a long, b long"), "jaccard-links", per_core=1)
-    del x, y, outside, others, pairs, named_in, needed, both
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "la", "lb", "da", "pa", "db", "pb").repartition("a").sortWithinPartitions("a", "lb")
+    rest = written(both.mapInArrow(_verify(width, percent), "a long, b long").distinct(), "jaccard-links", per_core=1)
+    del x, y, outside, others, met, pairs, named_in, needed, both
     free_shuffles(spark)
-    label = components(links.union(rest))
-
-    member = named.select("digest", "cls", "least").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("digest", "least", F.coalesce("label", "cls").alias("component"))
+    last = components(rest)
+
+    member = (
+        named.select("digest", "cls", "least")
+        .join(label.withColumnRenamed("node", "cls"), "cls", "left")
+        .withColumn("label", F.coalesce("label", "cls"))
+        .join(last.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left")
+        .select("digest", "least", F.coalesce("last", "label").alias("component"))
+    )
     smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
     of = member.join(smallest, "component").select("digest", "component_id")
     return (
