@@ -1,0 +1,11 @@
+"""A dataframe engine on Spark: frames with a row order and an index over Spark's own plans."""
+
+from .build import SeriesBuilder, concat, parallel_info, series
+from .frame import Frame, Series
+from .index import ListIndex, MultiIndex, RangeIndex, default_index
+from .plans.expr import Expr, col, lit
+from .plans.lazy import LazyFrame
+from .plans.sql import SQLContext
+from .session import session
+
+__all__ = ["Expr", "Frame", "LazyFrame", "ListIndex", "MultiIndex", "RangeIndex", "SQLContext", "Series", "SeriesBuilder", "col", "concat", "default_index", "lit", "parallel_info", "series", "session"]

@@ -202,6 +202,12 @@ class Frame:
     def filter(self, condition: Column | Series | Expr) -> Frame:
         return self._new(self.df.where(_column(condition, self.order)))
 
+    parallel_filter = filter
+
+    def filter_mask(self, mask: Sequence[bool]) -> Frame:
+        """The rows at the positions that are true; the mask has a value for each row."""
+        return self.take([i for i, keep in enumerate(mask) if keep])
+
     def take(self, positions: Sequence[int]) -> Frame:
         return self._new(SE.take(self.df, positions, self.order, "__idx" if "__idx" not in self.df.columns else "__place"), ("__idx",) if "__idx" not in self.df.columns else ("__place",))
 
@@ -687,6 +693,10 @@ class Series:
 
     # accessors
 
+    def cat(self, separator=""):
+        """All texts but null as one, in order; for small series."""
+        return self._frame().agg(S.cat(F.col("__x"), separator, [F.col(k) for k in self.frame.order])).first()[0]
+
     @property
     def str(self) -> Accessor:
         return Accessor(self, S)

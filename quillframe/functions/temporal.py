@@ -170,3 +170,20 @@ def between(ts: Column, start, end) -> Column:
 
 def at_time(ts: Column, hours: int, minutes: int) -> Column:
     return (F.hour(ts) == hours) & (F.minute(ts) == minutes)
+
+
+def plus(a: Column, b: Column) -> Column:
+    """The sum of two durations, or of a time's and a duration's nanoseconds."""
+    return a.cast("bigint") + b.cast("bigint")
+
+
+def minus(a: Column, b: Column) -> Column:
+    return a.cast("bigint") - b.cast("bigint")
+
+
+def before(a: Column, b: Column) -> Column:
+    return a < b
+
+
+def after(a: Column, b: Column) -> Column:
+    return a > b

@@ -76,6 +76,19 @@ def group_by_dynamic(df: DataFrame, time: str, period: int, every: int = 0) -> D
 RESAMPLE = ("sum", "mean", "min", "max", "first", "last", "count")
 
 
+@dataclass(frozen=True)
+class ResampleRule:
+    """How to resample: every so often (nanoseconds), by which function, and which ends belong to and name a window."""
+
+    every: int
+    fn: str = "mean"
+    closed: str = "left"
+    label: str = "left"
+
+    def apply(self, df: DataFrame, time: str, order_by: Sequence[str] = ()) -> DataFrame:
+        return resample(df, time, self.every, self.fn, order_by, self.closed, self.label)
+
+
 def resample(df: DataFrame, time: str, every: int, fn: str, order_by: Sequence[str] = (), closed: str = "left", label: str = "left") -> DataFrame:
     """One row for each window with rows: numeric columns by the function (0 without values), others by their first value."""
     if fn not in RESAMPLE:
