@@ -75,7 +75,8 @@ class Frame:
 
     @property
     def columns(self) -> list[str]:
-        return [c for c in self.df.columns if c != "__idx" and c not in self.index]
+        """The columns but the index and hidden ones, whose names start with __."""
+        return [c for c in self.df.columns if not c.startswith("__") and c not in self.index]
 
     def data(self) -> DataFrame:
         """The Spark frame without the hidden order, in order."""
