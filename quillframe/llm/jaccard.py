@@ -333,7 +333,7 @@ def _near_bits(percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (far * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = 4, often: int = 256, pairs_up_to: int = 1000, block_rows: int = 512, turns: int = 3, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = 4, often: int = 256, pairs_up_to: int = 1000, block_rows: int = 512, turns: int = 2, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
     A text's set: its distinct shingles of ``width`` words, A-Z lower-cased, words being what
@@ -376,10 +376,12 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
     for turn in range(turns):
         own = entry.withColumn("label", F.col("cls")) if label is None else _open(entry, label)
         count = own.groupBy("key").agg(F.count("*").alias("size"))
-        best = F.max(F.struct(F.ceil(F.log2("size")).alias("level"), F.xxhash64("key", F.lit(turn)).alias("mix"), "size", "key"))
-        home = own.join(count, "key").groupBy("cls", "label").agg(best.alias("home"))
-        salts = F.ceil(F.col("home.size") / block_rows)
-        dealt = written(home.select("cls", "label", F.col("home.key").alias("home"), F.pmod(F.xxhash64("cls", F.lit(turn)), salts).alias("salt")), "jaccard-dealt", per_core=1)
+        # first the largest list, then one of about the largest, another one each time
+        mix = F.xxhash64("key", F.lit(turn)) if turn else F.col("size")
+        best = F.max(F.struct(F.ceil(F.log2("size")).alias("level"), mix.alias("mix"), "key"))
+        home = own.join(count, "key").groupBy("cls", "label").agg(best.alias("best")).select("cls", "label", F.col("best.key").alias("home"))
+        size = home.groupBy("home").agg(F.ceil(F.count("*") / block_rows).alias("salts"))
+        dealt = written(home.join(size, "home").select("cls", "label", "home", F.pmod(F.xxhash64("cls", F.lit(turn)), "salts").alias("salt")), "jaccard-dealt", per_core=1)
         block = texts.join(_small(dealt, broadcast_rows), "cls").select("home", "salt", "cls", "label", "digest", "packed").repartition("home", "salt").sortWithinPartitions("home", "salt", "cls")
         found = written(block.mapInArrow(_blocks(width, percent), "a long, b long"), "jaccard-links", per_core=1)
         del block
