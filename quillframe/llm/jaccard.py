@@ -206,13 +206,12 @@ _CLASSED = "doc_id long, uid long, n long, digest binary, keys array<long>, bits
 def _index(width: int, shared, frequent: int, percent: int, pairs_up_to: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, level = Shingler(width), shared.value
-        uid = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 256):
             sets = [shingler.set_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(range(uid, uid + len(sets)), pa.int64()),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([index_keys(s, level, frequent, percent, pairs_up_to).view(np.int64) for s in sets], pa.list_(pa.int64())),
@@ -220,7 +219,6 @@ def _index(width: int, shared, frequent: int, percent: int, pairs_up_to: int):
                 ],
                 names=["doc_id", "uid", "n", "digest", "keys", "bits"],
             )
-            uid += len(sets)
 
     return run
 
@@ -348,7 +346,9 @@ def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 8
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     level, frequent = token_levels(source, width, often)
-    rows = written(source.mapInArrow(_index(width, spark.sparkContext.broadcast(level), frequent, percent, pairs_up_to), _CLASSED), "jaccard-rows", per_core=4)
+    # numbered by Spark: a task can run several partitions, so its own number isn't enough
+    numbered = source.withColumn("uid", F.monotonically_increasing_id())
+    rows = written(numbered.mapInArrow(_index(width, spark.sparkContext.broadcast(level), frequent, percent, pairs_up_to), _CLASSED), "jaccard-rows")
     code = F.xxhash64("digest")
 
     # Equal sets are one class, named after one of its rows, one with an id if there is any.

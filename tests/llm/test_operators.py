@@ -186,6 +186,12 @@ def test_components(spark, options):
     assert got == brute_components(rows)
 
 
+def test_components_over_more_partitions_than_cores(spark):
+    rows = [(i, t) for i, t, _ in corpus(4, 60)]
+    df = make(spark, [(i, t, None) for i, t in rows], 40)
+    assert sorted(map(tuple, jaccard.similarity_components(spark, df).collect())) == brute_components(rows)
+
+
 def test_components_chain(spark):
     base = [f"w{i}" for i in range(60)]
     rows = [(100 - k, " ".join(base[k * 2 : k * 2 + 30])) for k in range(14)]  # each is near its neighbours only
