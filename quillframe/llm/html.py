@@ -123,7 +123,8 @@ def main_text(html: str, sigma: float = 1.0, radius: int = 2) -> str:
     best = max(named or mass, key=lambda r: (mass[r], -r))
     chosen = [k for k in inside if lines[k][3] == best]
     if best == 0:  # no element says where the article is: from the first to the last line of a cluster
-        peaks = [k for k in chosen if high[k]]
+        # smoothing lifts the neighbours of long lines, so a cluster ends with lines that are high themselves
+        peaks = [k for k in chosen if high[k] and ratio[k] >= smooth.std()] or [k for k in chosen if high[k]]
         chosen = [k for k in chosen if peaks and peaks[0] <= k <= peaks[-1]]
     return "\n".join(lines[k][0] for k in chosen)
 
