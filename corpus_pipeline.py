@@ -66,8 +66,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest doc_id."""
-    found = similarity_components(spark, docs)
+    """One document of each component of near duplicates: the one with the smallest doc_id.
+
+    Near duplicates share 80 % of their five-word shingles at least, by Jaccard similarity.
+    """
+    found = similarity_components(spark, docs, percent=80, width=5)
     return _only(docs, found.where("doc_id <=> component_id").select("doc_id"))
 
 

@@ -44,6 +44,17 @@ def test_stages(spark, folder):
     assert set(docs.columns) < set(last.columns) and last.where("rate < 0").count() == 0 and last.count() == len(want)
 
 
+def test_near_by_five_words(spark, folder):
+    base = [f"w{k}" for k in range(50)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:25], "changed", *base[26:]]))]  # 41 of 51 at five words, 43 of 51 at four
+    rows += [(10 + i, t) for i, t, _ in corpus(12)]
+    rows += [(100, " ".join(base[:24] + base[26:])), (101, " ".join(f"v{k}" for k in range(40))), (102, " ".join([*(f"v{k}" for k in range(20)), "changed", *(f"v{k}" for k in range(21, 40))]))]
+    docs = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [k for k, _, c in brute_components(rows, 80, 5) if k == c]
+    assert 2 not in want and {1, 101, 102} <= set(want)
+    assert sorted(r["doc_id"] for r in P.near(spark, docs, folder).collect()) == sorted(want)
+
+
 def test_run(spark, folder):
     ids = [r["doc_id"] for r in P.run(spark, folder).select("doc_id").collect()]
     assert len(ids) == len(set(ids)) > 10
