@@ -83,7 +83,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @_tidy
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their tokens, posteriors and the rate that meets the target weights."""
+    """All documents, with their tokens, posteriors and the rate that meets the target weights.
+
+    The column ``rate`` is the decision: each document is returned once, also with rate 0, and the
+    rows have the target weights only when a reader takes each as often as its rate says.
+    """
     return soft_mix(docs, _queries.mix_labels(spark, sf_dir), _queries.MIX_TARGETS, keep_columns=True)
 
 

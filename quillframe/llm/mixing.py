@@ -1,8 +1,10 @@
 """Mixing sources to target weights, with soft membership.
 
 A classifier learnt from a labelled table gives each document posteriors over domains. Then
-nonnegative document rates are fitted by projected-gradient least squares, so that the expected
-tokens of each domain (rate x tokens x posterior, summed) match the targets.
+nonnegative document rates are fitted by least squares, so that the expected tokens of each domain
+(rate x tokens x posterior, summed) match the targets. The fit is a semismooth Newton method on
+the dual problem and not a projected gradient: there are as many unknowns as domains, so each
+step solves with their matrix.
 
 Only DataFrame functions are used. A document's posteriors are an expression of its own row, and
 its rate is the projection of a step along its posteriors, ``max(0, 1 - p . v)``; what the
@@ -12,6 +14,7 @@ iterations pass on is ``v``, one number for each domain. So nothing is shuffled
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,10 +99,12 @@ def fit_rates(members: DataFrame, model: Domains, targets: dict[str, float], bud
     """The vector ``v`` whose rates bring the expected tokens of the domains nearest to the targets.
 
     Least squares of (expected tokens - targets), with the pull ``ridge`` of the rates towards 1,
-    by projected gradient: each step is the gradient, scaled by the matrix of the documents whose
-    rate is positive, and halved while it doesn't come nearer. ``targets``: weights, which are
-    scaled to sum to 1; ``budget``: their tokens together, all tokens of the table if None. Where
-    there are no tokens the rates stay 1.
+    by semismooth Newton steps on the dual: each step solves for the gap with the matrix of the
+    documents whose rate is positive, and is halved while it doesn't come nearer. ``targets``:
+    weights, which are scaled to sum to 1; ``budget``: their tokens together, all tokens of the
+    table if None. Where there are no tokens the rates stay 1. Where the line search fails or
+    ``most`` steps leave a gap of ``tolerance`` (in shares of all tokens) or more, a warning says
+    how large it is; the gap is that of the least squares, so an unreachable target has none.
     """
     names, k = model.names, len(model.names)
     weight = np.array([max(0.0, float(targets.get(d, 0.0))) for d in names])
@@ -134,6 +139,9 @@ def fit_rates(members: DataFrame, model: Domains, targets: dict[str, float], bud
         else:
             break
         v, gap, m = v + size * step, next_gap, next_m
+    left = float(np.abs(gap).max())
+    if not left < tolerance:
+        warnings.warn(f"mixing: the fit of the rates ended with a gap of {left:.3g} (tolerance {tolerance:.3g})", RuntimeWarning, stacklevel=2)
     return [float(f"{x:.9g}") if math.isfinite(x) else 0.0 for x in v]
 
 

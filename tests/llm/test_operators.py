@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import warnings
 
 import numpy as np
 import pytest
@@ -374,3 +375,19 @@ def test_mixing(spark):
     strange = {r["doc_id"]: r for r in mixing.soft_mix(odd(spark), labelled.limit(0), targets).collect()}
     assert strange[1]["n_tokens"] == 0 and strange[1]["p_x"] == pytest.approx(1 / 3)
     assert mixing.soft_mix(empty(spark), labelled, targets).collect() == []
+
+
+def test_mixing_reports_a_gap(spark):
+    rng = random.Random(8)
+    kinds = {"x": ["red", "green", "blue"], "y": ["one", "two", "three"]}
+    rows = [(i, words(rng, 20, kinds[k]), k) for i, k in enumerate(["x"] * 30 + ["y"] * 10)]
+    docs = make(spark, rows)
+    labelled = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, domain string")
+    model = mixing.fit_domains(docs, labelled, ["x", "y"])
+    members = mixing.with_membership(docs, model)
+    with pytest.warns(RuntimeWarning, match="gap of"):
+        mixing.fit_rates(members, model, {"x": 0.1, "y": 0.9}, most=0)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        mixing.fit_rates(members, model, {"x": 0.1, "y": 0.9})
+        mixing.fit_rates(members, model, {"x": 1.0, "y": 0.0}, budget=500.0)
