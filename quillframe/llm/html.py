@@ -1,14 +1,18 @@
 """Main text of web pages from streaming parser events.
 
 The standard library's parser yields events; block elements cut the page into lines, each with
-its text and number of tags. The text-to-tag ratios are smoothed with a Gaussian and the lines
-at or above the threshold (the standard deviation) are clustered into regions; the region with
-most text is the article. A region is kept whole, so its short lines stay too.
+its text and number of tags. The text-to-tag ratios are smoothed with a Gaussian; the lines at or
+above the threshold (the standard deviation) are high.
+
+Where the page has article or main elements, these are its regions, and the ratios only choose
+among several: the one with most text in high lines is kept whole. Elsewhere the high lines
+decide: from the first to the last that is high by itself, and what else their common container
+holds directly or in parts with such a line, so that short titles and last paragraphs stay.
 """
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,14 +30,18 @@ OUTSIDE = frozenset("nav header footer aside form script style noscript template
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Words in a class or id.
 NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
-_NAME = re.compile(r"[a-z]+")
+#: Elements that hold blocks of a text; the others are blocks themselves.
+HOLDERS = frozenset("article body center details div dl figure html main ol section table tbody td tr ul".split())
+#: Containers within more than so many others count as the last of these.
+DEEP = 200
 
 
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, outside the article, region
-        self.lines: list[tuple[str, int, bool, int]] = []  # text, tags, outside, region
+        self.open: list[tuple[str, bool, int, bool, tuple[int, ...]]] = []  # tag, outside the article, region, outside by names only, holders
+        self.lines: list[tuple[str, int, bool, int, tuple[int, ...]]] = []  # text, tags, outside, region, holders
+        self.holders = 0
         self.parts: list[str] = []
         self.tags = 0
         self.regions = 0
@@ -44,25 +52,25 @@ class _Page(HTMLParser):
     def _cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, *self._where()))
+            self.lines.append((text, self.tags, *self._where(), self.open[-1][4] if self.open else ()))
             self.tags = 0
         self.parts = []
 
     def _outside(self, tag: str, attrs: list, region: int) -> bool:
-        if tag in OUTSIDE and not (tag == "header" and region):
-            return True
-        for key, value in attrs:
-            if not value:
-                continue
-            if key == "role" and value.lower() in ROLES:
-                return True
-            if key in ("class", "id") and tag not in ("html", "body") and NAMES.intersection(_NAME.findall(value.lower())):
-                return True
-        return False
+        """Whether the element is outside by its tag or role."""
+        return tag in OUTSIDE and not (tag == "header" and region) or any(k == "role" and v and v.lower() in ROLES for k, v in attrs)
+
+    def _named(self, tag: str, attrs: list, region: int) -> bool:
+        """Whether a whole name in class or id is one of ``NAMES``; it doesn't count on an element that opens a region."""
+        if tag in ("html", "body") or tag in ("article", "main") and not region:
+            return False
+        return any(k in ("class", "id") and v and not NAMES.isdisjoint(v.lower().split()) for k, v in attrs)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         outside, region = self._where()
-        leaves = self._outside(tag, attrs, region)
+        leaves, named = self._outside(tag, attrs, region), self._named(tag, attrs, region)
+        by_name = not leaves and (self.open[-1][3] if outside else named)
+        leaves = leaves or named
         if tag in BLOCKS or leaves != outside:
             self._cut()
         self.tags += 1
@@ -71,10 +79,16 @@ class _Page(HTMLParser):
         if tag in ("p", "li") and self.open and self.open[-1][0] == tag:
             self.open.pop()
             outside, region = self._where()
+        if tag in ("article", "main") and not region and by_name:  # the names of its ancestors don't count
+            outside = by_name = False
         if tag in ("article", "main") and not region and not outside and not leaves:
             self.regions += 1
             region = self.regions
-        self.open.append((tag, outside or leaves, region))
+        holders = self.open[-1][4] if self.open else ()
+        if tag in HOLDERS and len(holders) < DEEP:
+            self.holders += 1
+            holders = (*holders, self.holders)
+        self.open.append((tag, outside or leaves, region, by_name, holders))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -92,7 +106,7 @@ class _Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
 
-    def finish(self) -> list[tuple[str, int, bool, int]]:
+    def finish(self) -> list[tuple[str, int, bool, int, tuple[int, ...]]]:
         self.close()
         self._cut()
         return self.lines
@@ -122,10 +136,15 @@ def main_text(html: str, sigma: float = 1.0, radius: int = 2) -> str:
     named = {r: m for r, m in mass.items() if r}
     best = max(named or mass, key=lambda r: (mass[r], -r))
     chosen = [k for k in inside if lines[k][3] == best]
-    if best == 0:  # no element says where the article is: from the first to the last line of a cluster
-        # smoothing lifts the neighbours of long lines, so a cluster ends with lines that are high themselves
+    if best == 0:  # no element says where the article is
+        # smoothing lifts the neighbours of long lines, so the lines that are high themselves say which container it is
         peaks = [k for k in chosen if high[k] and ratio[k] >= smooth.std()] or [k for k in chosen if high[k]]
-        chosen = [k for k in chosen if peaks and peaks[0] <= k <= peaks[-1]]
+        if not peaks:
+            return ""
+        common = os.path.commonprefix([lines[k][4] for k in peaks])
+        deep = len(common)
+        parts = {lines[k][4][: deep + 1] for k in peaks} | {common}
+        chosen = [k for k in chosen if peaks[0] <= k <= peaks[-1] or lines[k][4][: deep + 1] in parts]
     return "\n".join(lines[k][0] for k in chosen)
 
 

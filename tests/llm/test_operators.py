@@ -308,6 +308,25 @@ def test_html(spark):
     assert html.extract_main_text(df.limit(0)).collect() == []
 
 
+LONG_LINE = "A long and plain paragraph that stands without any article around it. " * 4
+
+
+def test_html_short_edges_without_article():
+    long = LONG_LINE.strip()
+    body = f"<h1>Short</h1><p>{long}</p><p>Mid.</p><p>{long}</p><p>{long}</p><p>The end.</p>"
+    want = "\n".join(["Short", long, "Mid.", long, long, "The end."])
+    assert html.main_text(f"<body><div>menu</div><div>{body}</div><div><a>one</a> <a>two</a></div></body>") == want
+    assert html.main_text(f"<body><div>menu</div>{body}<div>tail</div></body>") == want
+    assert html.main_text(f"<body><div><section>{body}</section><section><h2>Two</h2><p>{long}</p><p>Last.</p></section></div><div>tail</div></body>") == f"{want}\nTwo\n{long}\nLast."
+
+
+def test_html_names():
+    long = LONG_LINE.strip()
+    assert html.main_text(f'<article><div class="ad-free share-price"><p>{long}</p></div><div class="x ad"><p>{long}</p></div></article>') == long
+    assert html.main_text(f'<div class="menu page"><p>gone</p><article class="related"><h1>Short</h1><p>{long}</p><div class="comments"><article><p>{long}</p></article></div></article><p>gone</p></div>') == f"Short\n{long}"
+    assert html.main_text(f"<nav><div class=menu><article><p>{long}</p></article></div></nav>") == ""
+
+
 # classifiers
 
 
