@@ -1,26 +1,28 @@
-"""Removal of repeated byte strings by a distributed difference-cover algorithm.
+"""Removal of repeated byte strings by fixed-length hashes over a difference cover.
 
-A difference cover D modulo v has, for any two positions, a shift s < v that brings both to
-residues in D. So of two equal strings of ``length`` bytes, some pair of corresponding sampled
-positions is followed by at least ``length - v + 1`` equal bytes. This is used as in suffix
-sorting by a difference cover:
+This is no suffix sort: no suffixes are ordered or merged and nothing recurses, as only equality
+at one length is asked for. A difference cover D modulo v has, for any two positions, a shift
+s < v that brings both to residues in D. So of two equal strings of ``length`` bytes, some pair
+of corresponding sampled positions is followed by at least ``length - v + 1`` equal bytes:
 
-1. *sampled tuples*: the positions with residues in D are named by the tuple of bytes that
-   follows; the names of a chunk of documents are sorted, and sorted runs meet by ranges of
-   names. A name that one document alone has can't belong to a repeated string, and is dropped;
-2. *recursion on the names that are left*: the suffixes from up to v - 1 bytes before a sampled
-   position whose name is shared are named anew, by all ``length`` bytes;
-3. *merge*: sorted runs of these names, with their smallest document, meet by ranges;
-4. *adjacent prefixes*: equal neighbours are equal strings, whose smallest document keeps them.
+1. *samples*: positions with residues in D are named by a 40-bit hash of the ``length - v + 1``
+   bytes that follow. A name that one document alone has can't belong to a repeated string, and
+   is dropped;
+2. *windows*: every position from up to v - 1 bytes before a sample whose name is left gets a
+   64-bit hash of all its ``length`` bytes;
+3. *smallest document*: of each of these hashes, which keeps the string; others lose it.
+
+Both times the names of a chunk of documents are sorted by value, cut into ranges and compared
+with those of other chunks range by range.
 
 Documents that equal one with a smaller id are left out of these steps, as that one stands for
 them: all their strings start there too.
 
-With v = 3, the sampled triples of the plain algorithm, two thirds of all bytes would become
-rows; v = 13 has 4 residues in 13. Rows aren't suffixes but sorted runs of one chunk and one
+With v = 3, as in suffix sorting by triples, two thirds of all bytes would become rows, more than
+the disk holds; v = 13 has 4 residues in 13. Rows aren't suffixes but sorted runs of one chunk and one
 range, coded as differences; the answer to a run is one bit for each of its names.
 
-Names are 64-bit hashes of the bytes, and equal names are taken for equal strings.
+The names of windows are 64-bit hashes of the bytes, and equal names are taken for equal strings.
 """
 
 from __future__ import annotations
