@@ -1,4 +1,4 @@
-"""What the corpus operators share: the shared folder, written tables, table readers."""
+"""What the corpus operators share: the shared folder, written tables, row keys, table readers."""
 
 from __future__ import annotations
 
@@ -10,20 +10,24 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: str | None = None
-_written: list[str] = []
+#: Written tables: the path, and a weak reference of the JVM to the file index by which plans read it.
+_held: list[tuple[str, object]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder is made.
+    Only a local session may name none, as in tests; it gets a temporary folder.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="quillframe-")
     return _own_dir
@@ -31,26 +35,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    path = f"{shared_dir(spark)}/quillframe/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
+    return f"{shared_dir(spark)}/quillframe/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, per_core: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     It cuts the lineage: a lost executor costs the tasks that were running, not the table, and
-    the shuffle files before it can go. ``per_core``: files for each core of the cluster at most.
+    the shuffle files before it can go. ``per_core``: files for each core of the cluster at most;
+    not for frames that end in a function of Python, as its tasks would be as few. The table is
+    deleted after all plans that read it are gone (see :func:`sweep`).
     """
-    path = shared_path(df.sparkSession, name)
+    spark = df.sparkSession
+    sweep(spark)
+    path = shared_path(spark, name)
     if per_core:
-        df = df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+        df = df.coalesce(per_core * spark.sparkContext.defaultParallelism)
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    index = out._jdf.queryExecution().analyzed().collectLeaves().apply(0).relation().location()
+    _held.append((path, spark._jvm.java.lang.ref.WeakReference(index)))
+    return out
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the written tables that no plan in the JVM reads any more.
+
+    A frame and what was made of it share the file index of the table that they read, so a table
+    stays as long as anybody holds one of them, and goes some time after.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path, index in list(_held):
+        if index.refersTo(None):
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+            _held.remove((path, index))
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that nobody holds any more, as after a written table.
+    """Let Spark drop the shuffle files of frames that nobody holds any more, as after a written table, and sweep.
 
     It would do so by itself at the driver's next garbage collections, which may come late.
     """
@@ -58,34 +81,28 @@ def free_shuffles(spark: SparkSession) -> None:
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.3)
+    sweep(spark)
 
 
-def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete written tables, all if none are named; frames that read them can't be used any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in list(_written if paths is None else paths):
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-        if path in _written:
-            _written.remove(path)
-
-
-def tables() -> list[str]:
-    """The paths written so far."""
-    return list(_written)
-
-
-def reads(df: DataFrame) -> list[str] | None:
-    """The folders and files that ``df`` reads, or None if it reads anything else."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    out = []
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
-            return None
-        roots = leaf.relation().location().rootPaths()
-        out += [roots.apply(k).toString() for k in range(roots.size())]
-    return out
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a binary column ``name`` that tells rows apart and is the same at every reading.
+
+    For a plain scan of Parquet files it is made of the file's hash (64 bits of its path) and the
+    row's place in it; any other frame is written first, with numbers.
+    """
+    code = lambda high, low: F.unhex(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in (high, low)]))
+    if "_metadata" not in docs.columns and _plain_scan(docs):
+        return docs.withColumn(name, code(F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")))
+    return written(docs.withColumn(name, code(F.lit(0).cast("long"), F.monotonically_increasing_id())), "numbered")
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether a frame is a scan of Parquet files, with projections and filters at most."""
+    node = df._jdf.queryExecution().analyzed()
+    kind = lambda x: x.getClass().getSimpleName()
+    while kind(node) in ("Project", "Filter", "SubqueryAlias"):
+        node = node.child()
+    return kind(node) == "LogicalRelation" and kind(node.relation()) == "HadoopFsRelation" and kind(node.relation().fileFormat()) == "ParquetFileFormat"
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:

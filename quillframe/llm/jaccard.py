@@ -8,16 +8,19 @@ pair. Sets of more than ``pairs_up_to`` tokens have too many pairs: where the la
 pair is of that size, both are indexed by their frequent tokens one by one. The order and the
 classes come from a counter table of fixed size; they decide costs only, never the result.
 
-Equal sets are one class from the start. Sets that share a key are then verified in steps, so
-that a large group of similar sets needn't be expanded into its pairs:
-
-1. *blocks*: each class goes to one of its largest lists, dealt into blocks of bounded size; a
-   task links the sets of a block exactly, and passes over those that are linked already. Lists
-   with several components are dealt again;
-2. *rest*: of every list that still holds several components, the classes outside its largest
-   component meet all others of the list. A parity sketch, whose distance never exceeds that of
-   the sets, rules out most of these pairs inside the join; what is left is verified, until
-   the components are linked or no pair is left.
+Equal sets are one class from the start, and a list holds the classes of one key. Classes are
+then linked in steps, so that a large group of similar sets needn't be expanded into its pairs:
+
+1. *blocks*: each class of a list of ``block_from`` or more goes to one of its largest lists,
+   dealt into blocks of bounded size; a task links the sets of a block exactly, and passes over
+   those that are linked already. Lists with several components are dealt again;
+2. *candidates*: lists that hold several components are compared by size and by a parity sketch,
+   whose distance never exceeds that of the sets. Lists of two are first folded to distinct
+   pairs, lists with the same smallest class come to few tasks, each of which names a pair once
+   however many keys it shares, and pairs that a block has compared are passed over. Of a long
+   list only what is outside its largest component is compared with the others, in cells of
+   bounded size;
+3. *verification* of what is left, by the sets themselves.
 
 Components are found by passing on the smallest label, with pointer jumping.
 """
@@ -26,15 +29,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_shuffles, slices, small_batches, written
 
@@ -42,36 +45,119 @@ from .common import free_shuffles, slices, small_batches, written
 SLOT_BITS, BLOCK = 21, 1 << 16
 #: 64-bit words of a sketch, and of one for a set of more than SKETCH_LONG tokens.
 SKETCH_WORDS, SKETCH_MORE, SKETCH_LONG = 8, 64, 1000
+#: Lists of at most so many rows are compared many at a time.
+SHORT_LIST = 32
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 class Shingler:
-    """Sets of hashed word shingles; remembers the hashes of at most ``keep`` words."""
-
-    def __init__(self, width: int, keep: int = 1 << 18):
-        self.width, self.keep = width, keep
-        self.known: dict[bytes, int] = {}
-
-    def _hash(self, word: bytes) -> int:
-        if len(self.known) >= self.keep:
-            self.known.clear()
-        found = self.known[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-    def set_of(self, text: str | None) -> np.ndarray:
-        """The distinct shingles of a text in order, as 64-bit hashes."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        known, fresh = self.known, self._hash
-        h = np.array([known.get(w) or fresh(w) for w in words], np.uint64)
-        width = min(self.width, len(h))
+    """Sets of hashed word shingles, from the bytes of whole batches of texts.
+
+    A word's hash is a polynomial of a random number for each of its bytes modulo 2**64: prefix
+    sums of number times power give those of all words at once, and the inverse power of a
+    word's place makes them independent of it. A shingle's hash mixes those of its words.
+    """
+
+    SPACE = np.zeros(256, bool)
+    SPACE[[9, 10, 11, 12, 13, 32]] = True
+    TABLE = np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)
+    TABLE[65:91] = TABLE[97:123]  # A-Z as a-z
+    BASE = 0x9E3779B97F4A7C15 | 1
+
+    def __init__(self, width: int, block: int = 1 << 16):
+        self.width, self.block = width, block
+        self.power = self.back = np.empty(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.power):
+            n = max(n, self.block + 1)
+            for name, base in (("power", self.BASE), ("back", pow(self.BASE, -1, 1 << 64))):
+                made = np.full(n, base, np.uint64)
+                made[0] = 1
+                with np.errstate(over="ignore"):
+                    setattr(self, name, np.cumprod(made, dtype=np.uint64))
+
+    def _words(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the words of ``data`` and their places; no word goes across one of the places ``cuts``."""
+        n = len(data)
+        space = self.SPACE[data]
+        edge = np.empty(n + 1, bool)  # whether a word can't go on from the byte before
+        edge[1:] = True
+        edge[1:-1] = space[:-1] | space[1:]
+        edge[0] = True
+        edge[cuts] = True
+        first = np.flatnonzero(edge[:-1] & ~space)
+        last = np.flatnonzero(edge[1:] & ~space)
+        self._powers(n)
+        with np.errstate(over="ignore"):
+            x = self.TABLE[data]
+            x *= self.power[:n]
+            total = np.cumsum(x, dtype=np.uint64)
+            out = (total[last] - total[first] + x[first]) * self.back[first]
+            out = (out ^ (last - first).astype(np.uint64)) * _MIX[1]
+            out ^= out >> np.uint64(32)
+        return out, first
+
+    def _cut(self, data: np.ndarray, at: np.ndarray, a: int) -> int:
+        """A place behind ``a`` where no word goes on: up to a block away, further within a longer word."""
+        b = a + self.block
+        if b >= len(data):
+            return len(data)
+        white = np.flatnonzero(self.SPACE[data[a:b]])
+        back = max(int(at[np.searchsorted(at, b, "right") - 1]), a + int(white[-1]) + 1 if len(white) else 0)
+        if back > a:
+            return back
+        end = int(at[np.searchsorted(at, b)])  # of the text
+        while b < end:
+            white = np.flatnonzero(self.SPACE[data[b : b + self.block]])
+            if len(white):
+                return min(end, b + int(white[0]))
+            b += self.block
+        return end
+
+    def _joined(self, words: np.ndarray, width: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            out = np.full(len(h) - width + 1, width, np.uint64)
+            out = np.full(len(words) - width + 1, width, np.uint64)
             for k in range(width):
-                out = (out ^ h[k : len(h) - width + 1 + k]) * _MIX[k % 4]
+                out = (out ^ words[k : len(words) - width + 1 + k]) * _MIX[k % 4]
                 out ^= out >> np.uint64(29)
-        return np.unique(out)
+        return out
+
+    def sets_of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The distinct shingles of each text in order, as 64-bit hashes; none for null and blank ones.
+
+        Words are what stands between ASCII white space, A-Z lower-cased. ``texts``: strings, or
+        binary in UTF-8.
+        """
+        if texts.null_count:
+            texts = pc.fill_null(texts, "" if pa.types.is_string(texts.type) else b"")
+        if not len(texts):
+            return []
+        _, places, held = texts.buffers()
+        at = np.frombuffer(places, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(held, np.uint8)[at[0] : at[-1]] if held is not None and at[-1] > at[0] else np.empty(0, np.uint8)
+        at = at - at[0]
+        words, starts = [], []
+        a = 0
+        while a < len(data):
+            b = self._cut(data, at, a)
+            cuts = at[np.searchsorted(at, a) : np.searchsorted(at, b, "right")] - a
+            hashes, where = self._words(data[a:b], cuts)
+            words.append(hashes)
+            starts.append(where + a)
+            a = b
+        word = np.concatenate(words) if words else np.empty(0, np.uint64)
+        start = np.concatenate(starts) if starts else np.empty(0, np.int64)
+        edges = np.searchsorted(start, at).tolist()
+        joined = self._joined(word, self.width) if len(word) >= self.width else np.empty(0, np.uint64)
+        out = []
+        for a, b in zip(edges, edges[1:]):
+            if b - a >= self.width:
+                s = np.sort(joined[a : b - self.width + 1])
+                out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+            else:
+                out.append(self._joined(word[a:b], b - a) if b > a else np.empty(0, np.uint64))
+        return out
 
 
 def sketch(tokens: np.ndarray, words: int | None = None) -> np.ndarray:
@@ -83,6 +169,11 @@ def sketch(tokens: np.ndarray, words: int | None = None) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Rows of SKETCH_MORE words as the sketches of SKETCH_WORDS words of the same sets: eight cells become one."""
+    return np.packbits(np.bitwise_count(bits.view(np.uint8)) & 1, axis=1).view(np.uint64)
+
+
 def slot_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -93,20 +184,21 @@ def index_keys(tokens: np.ndarray, level: np.ndarray, frequent: int, percent: in
     if 100 * n < percent * (n + 1):  # only an equal set reaches the threshold
         return np.empty(0, np.uint64)
     need = -(-percent * n // 100)
-    own = level[slot_of(tokens)]
-    order = np.lexsort((tokens, own))[: min(n, n - need + 2)]
-    first, level_of = tokens[order], own[order]
-    rare = first[level_of < frequent]
-    often = first[level_of >= frequent]
-    out = [rare]
+    # the order: by class, then by the token (its high bits, which say the class)
+    order = (level[slot_of(tokens)].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
+    first = np.sort(order)[: min(n, n - need + 2)]
+    split = int(np.searchsorted(first, np.uint64(min(frequent, 255)) << np.uint64(56)))
+    if frequent > 255:
+        split = len(first)
+    out = [first[:split]]
+    often = first[split:]
     with np.errstate(over="ignore"):
-        if n <= pairs_up_to:
+        if n <= pairs_up_to and len(often) > 1:
             a, b = np.triu_indices(len(often), 1)
             out.append((often[a] * _MIX[0] ^ often[b]) * _MIX[1])
         if 100 * n >= percent * pairs_up_to:
-            single = first[: n - need + 1]
-            out.append((single[level_of[: n - need + 1] >= frequent] ^ _MIX[2]) * _MIX[0])
-    return np.unique(np.concatenate(out))
+            out.append((first[split : n - need + 1] ^ _MIX[2]) * _MIX[0])
+    return np.unique(np.concatenate(out)) if len(often) else out[0]
 
 
 def _near(a: int, b: int, both: int, percent: int) -> bool:
@@ -154,17 +246,10 @@ def _count_slots(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         count = np.zeros(1 << SLOT_BITS, np.int64)
-        held: list[np.ndarray] = []
-        size = 0
         for batch in slices(batches, 256):
-            for text in batch.column(0).to_pylist():
-                held.append(slot_of(shingler.set_of(text)))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    count += np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS)
-                    held, size = [], 0
-        if held:
-            count += np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS)
+            held = [slot_of(s) for s in shingler.sets_of(batch.column(0)) if len(s)]
+            if held:
+                np.add.at(count, np.concatenate(held), 1)
         part = TaskContext.get().partitionId() % 64
         squeeze = zstandard.ZstdCompressor(level=1).compress
         parts = [(k, part, squeeze(count[at : at + BLOCK].tobytes())) for k, at in enumerate(range(0, len(count), BLOCK)) if count[at : at + BLOCK].any()]
@@ -200,44 +285,39 @@ def token_levels(source: DataFrame, width: int, often: int) -> tuple[np.ndarray,
     return level, int(np.ceil(4 * np.log2(1 + np.median(count) + often)))
 
 
-_CLASSED = "doc_id long, uid long, n long, digest binary, keys array<long>, bits array<long>"
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), kind))
+
+
+_ROWS = "doc_id long, uid long, n long, digest binary, keys array<long>, bits binary, packed binary"
 
 
 def _index(width: int, shared, frequent: int, percent: int, pairs_up_to: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, level = Shingler(width), shared.value
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches, 256):
-            sets = [shingler.set_of(t) for t in batch.column(1).to_pylist()]
+            sets = shingler.sets_of(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([index_keys(s, level, frequent, percent, pairs_up_to).view(np.int64) for s in sets], pa.list_(pa.int64())),
-                    pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
+                    _lists([index_keys(s, level, frequent, percent, pairs_up_to).view(np.int64) for s in sets], pa.int64()),
+                    pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([squeeze(t.as_buffer()) if t.is_valid else None for t in batch.column(1).cast(pa.binary())], pa.binary()),
+                    *batch.columns[3:],
                 ],
-                names=["doc_id", "uid", "n", "digest", "keys", "bits"],
+                names=["doc_id", "uid", "n", "digest", "keys", "bits", "packed", *batch.schema.names[3:]],
             )
 
     return run
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    small = zstandard.ZstdCompressor(level=1).compress
-    for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([small((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
-
-
-class _Unpacker:
-    """Sets of packed texts; None where the text isn't the one with the wanted digest (rows may share an id)."""
-
-    def __init__(self, width: int):
-        self.shingler = Shingler(width)
-
-    def set_of(self, packed: bytes, digest: bytes) -> np.ndarray | None:
-        s = self.shingler.set_of(zstandard.decompress(packed).decode("utf-8", "surrogatepass"))
-        return s if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest else None
+def _unpacked(shingler: Shingler, packed: list[bytes]) -> list[np.ndarray]:
+    return shingler.sets_of(pa.array([zstandard.decompress(p) for p in packed], pa.binary()))
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -245,25 +325,23 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _blocks(width: int, percent: int):
-    """Link the rows of each block; rows of a block stand together."""
+    """Links between the components of each block; rows of a block stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = _Unpacker(width)
-        block, sets, known = None, {}, {}
+        shingler = Shingler(width)
+        block, sets, known = None, [], []
 
         def linked() -> list[tuple[int, int]]:
-            ids = list(sets)
-            return [(ids[i], ids[j]) for i, j in link_block(list(sets.values()), percent, [known[c] for c in ids])] if len(ids) > 1 else []
+            return [(known[i], known[j]) for i, j in link_block(sets, percent, known)] if len(sets) > 1 else []
 
         for batch in slices(batches, 256):
             out: list[tuple[int, int]] = []
-            for home, salt, cls, label, digest, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if (home, salt) != block:
+            for own, label, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(shingler, batch.column(2).to_pylist())):
+                if own != block:
                     out += linked()
-                    block, sets, known = (home, salt), {}, {}
-                s = unpacker.set_of(packed, digest)
-                if s is not None:
-                    sets[cls], known[cls] = s, label
+                    block, sets, known = own, [], []
+                sets.append(s)
+                known.append(label)
             if out:
                 yield _links(out)
         if out := linked():
@@ -272,24 +350,131 @@ def _blocks(width: int, percent: int):
     return run
 
 
+class _Rows:
+    """Rows of lists as columns: list, class, label, size, blocks, side and sketches."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        col = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
+        num = lambda name: col[name].to_numpy(zero_copy_only=False)
+        self.cls, self.label, self.n, self.side = num("cls"), num("label"), num("n"), num("side")
+        self.blocks = [num(c) for c in col if c.startswith("block")]
+        same = np.ones(len(self.cls), bool)
+        for name in ("fam", "part", "key"):
+            x = num(name)
+            same[1:] &= x[1:] == x[:-1]
+        same[:1] = False
+        self.list = np.cumsum(~same) - 1
+        bits = col["bits"]
+        at = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        data = np.frombuffer(bits.buffers()[2], np.uint8)
+        long = np.diff(at) > 8 * SKETCH_WORDS
+        self.bits = np.empty((len(at) - 1, SKETCH_WORDS), np.uint64)
+        few, many = np.flatnonzero(~long), np.flatnonzero(long)
+        self.bits[few] = data[at[few][:, None] + np.arange(8 * SKETCH_WORDS)].view(np.uint64)
+        self.more = data[at[many][:, None] + np.arange(8 * SKETCH_MORE)].view(np.uint64)  # of long sets
+        self.bits[many] = folded(self.more)
+        self.place = np.full(len(long), -1)
+        self.place[many] = np.arange(len(many))
+
+    def candidates(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs of rows (i, j) those that may reach the threshold and that no block has compared."""
+        keep = self.label[i] != self.label[j]
+        for block in self.blocks:  # 0: in none
+            keep &= (block[i] != block[j]) | (block[i] == 0)
+        small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        keep &= 100 * small >= percent * large
+        i, j = i[keep], j[keep]
+        far = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=1, dtype=np.int64)
+        both = np.flatnonzero((self.place[i] >= 0) & (self.place[j] >= 0))
+        for at in range(0, len(both), 4096):
+            k = both[at : at + 4096]
+            far[k] = np.bitwise_count(self.more[self.place[i[k]]] ^ self.more[self.place[j[k]]]).sum(axis=1, dtype=np.int64)
+        keep = (100 + percent) * far <= (100 - percent) * (self.n[i] + self.n[j])
+        return i[keep], j[keep]
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The candidates of all lists, as pairs of rows."""
+        size = np.bincount(self.list)
+        own = size[self.list]
+        short = np.flatnonzero(own <= SHORT_LIST)
+        lists = self.list[short]
+        for lag in range(1, int(own[short].max(initial=1))):
+            k = np.flatnonzero(lists[lag:] == lists[:-lag])
+            yield self.candidates(short[k], short[k + lag], percent)
+        for k in np.flatnonzero(size > SHORT_LIST):
+            a, b = np.searchsorted(self.list, [k, k + 1])
+            side, label = self.side[a:b], self.label[a:b]
+            values, first, counts = np.unique(label, return_inverse=True, return_counts=True)
+            # of a whole list, what is outside its largest component; of a cell, what was dealt so
+            x = a + np.flatnonzero((side == 1) | (side == 0) & (first != counts.argmax()))
+            y = a + np.flatnonzero(side != 1)
+            for at in range(0, len(x), 64):
+                part = x[at : at + 64]
+                yield self.candidates(np.repeat(part, len(y)), np.tile(y, len(part)), percent)
+
+
+def _candidates(percent: int, rows: int = 1 << 14):
+    """Pairs (a, b) of classes with their labels, of lists whose rows stand together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            held = _Rows(table.combine_chunks().to_batches()[0])
+            out: list[tuple[int, int, int, int]] = []
+            for i, j in held.pairs(percent):
+                for a, b, la, lb in zip(held.cls[i].tolist(), held.cls[j].tolist(), held.label[i].tolist(), held.label[j].tolist()):
+                    if a > b:
+                        a, b, la, lb = b, a, lb, la
+                    if (a, b) not in seen:
+                        if len(seen) > 1 << 18:
+                            seen.clear()  # a pair may then be named again
+                        seen.add((a, b))
+                        out.append((a, b, la, lb))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "la", "lb"])
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in slices(batches, rows):
+            if size >= rows:  # up to the last list, which may go on
+                last = tuple(held[-1].column(k)[-1].as_py() for k in range(3))
+                if tuple(batch.column(k)[0].as_py() for k in range(3)) != last:
+                    yield from found(pa.Table.from_batches(held))
+                    held, size = [], 0
+                else:
+                    whole = pa.Table.from_batches(held)
+                    ends = [whole.column(k).to_numpy() for k in range(3)]
+                    cut = int(np.flatnonzero(np.logical_or.reduce([e != v for e, v in zip(ends, last)]))[-1]) + 1 if any((e != v).any() for e, v in zip(ends, last)) else 0
+                    if cut:
+                        yield from found(whole.slice(0, cut))
+                        held, size = whole.slice(cut).combine_chunks().to_batches(), whole.num_rows - cut
+            held.append(batch)
+            size += batch.num_rows
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    return run
+
+
 def _verify(width: int, percent: int):
-    """Links (a, b) between components, from pairs of sets of which those with the same first set stand together."""
+    """Links (a, b) between components, from pairs of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = _Unpacker(width)
-        last, x = None, None
+        shingler = Shingler(width)
         done: set[tuple[int, int]] = set()
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 64):
+            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            open_ = [k for k, p in enumerate(pairs) if p not in done]
+            distinct = {p: None for k in open_ for p in (one[k], two[k])}  # a text may stand in several pairs
+            sets = dict(zip(distinct, _unpacked(shingler, list(distinct))))
             out = []
-            for a, la, lb, da, one, db, two in zip(*(c.to_pylist() for c in batch.columns)):
-                if last != (a, da, one):
-                    last, x, done = (a, da, one), unpacker.set_of(one, da), set()
-                if x is None or (la, lb) in done:
-                    continue
-                y = unpacker.set_of(two, db)
-                if y is not None and _near(len(x), len(y), overlap(x, y), percent):
-                    out.append((la, lb))
-                    done.add((la, lb))
+            for k in open_:
+                x, y = sets[one[k]], sets[two[k]]
+                if pairs[k] not in done and _near(len(x), len(y), overlap(x, y), percent):
+                    out.append(pairs[k])
+                    done.add(pairs[k])
             if out:
                 yield _links(out)
 
@@ -320,116 +505,164 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _near_bits(percent: int) -> Column:
-    """Whether the sketches and sizes of the entries x and y allow the threshold."""
-    x, y = F.col("x.bits"), F.col("y.bits")
-    few = reduce(lambda a, b: a + b, [F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(SKETCH_WORDS)])
-    many = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, k: acc + k)
-    # sketches of different lengths can't be compared
-    far = F.when((F.size(x) == SKETCH_WORDS) & (F.size(y) == SKETCH_WORDS), few).when(F.size(x) == F.size(y), many).otherwise(F.lit(0))
-    n, m = F.col("x.n"), F.col("y.n")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (far * (100 + percent) <= (n + m) * (100 - percent))
+def _merged(label: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The labels (``cls, label``) after the components ``found`` of labels; a class that isn't named is its own label."""
+    if label is None:
+        return found.withColumnRenamed("node", "cls")
+    more = found.select("node", F.col("label").alias("new"))
+    return label.join(more, F.col("label") == F.col("node"), "full").select(F.coalesce("cls", "node").alias("cls"), F.coalesce("new", "label").alias("label"))
 
 
-def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = 4, often: int = 256, pairs_up_to: int = 1000, block_rows: int = 512, turns: int = 2, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id``.
+def _labelled(df: DataFrame, label: DataFrame | None) -> DataFrame:
+    if label is None:
+        return df.withColumn("label", F.col("cls"))
+    return df.join(label.hint("merge"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+def _open(entry: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The entries of lists that hold several components, with their component."""
+    named = _labelled(entry, label)
+    if label is None:
+        return named
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return named.join(mixed.hint("merge"), "key", "left_semi")
+
+
+def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = 4, often: int = 256, pairs_up_to: int = 1000, block_from: int = 16, block_rows: int = 512, turns: int = 2, cell_rows: int = 2048, family_rows: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id``; other columns are not read.
 
     A text's set: its distinct shingles of ``width`` words, A-Z lower-cased, words being what
     stands between ASCII white space; of fewer words the whole sequence. Two rows link when
     their sets' Jaccard similarity is at least ``percent`` / 100; a component's id is its smallest
     doc_id. Null, empty and blank texts have the empty set and link with nothing. A row without
-    an id joins the component of an equal set that has one; else its component id is null. Rows
-    that repeat an id are rows of their own. Empty tables give empty results.
+    an id links like any other, but names no component: one of such rows alone has a null
+    component id. Rows that repeat an id are rows of their own. Empty tables give empty results.
 
+    ``block_from``, ``block_rows``, ``turns``, ``cell_rows`` and ``family_rows`` decide costs, never the result.
     Equality of shingles is equality of their 64-bit hashes.
     """
+    rows, member = _linked(spark, docs, percent, width, often, pairs_up_to, block_from, block_rows, turns, cell_rows, family_rows, id_col, text_col)
+    smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_digest = member.join(smallest, "component").select("digest", "component_id")
+    return (
+        rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+        .join(of_digest, "digest", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    )
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", **costs) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one of each component stays (see :func:`similarity_components`).
+
+    It is the one with the smallest id, null ids last, and of rows that repeat it the first as
+    Spark numbers them. Rows without words all stay.
+    """
+    settings = dict(often=256, pairs_up_to=1000, block_from=16, block_rows=512, turns=2, cell_rows=2048, family_rows=1 << 14) | costs
+    rows, member = _linked(spark, docs, percent, width, *settings.values(), id_col, text_col, carry=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first")
+    worded = rows.where("n > 0").select("doc_id", "uid", "digest").groupBy("digest").agg(first)  # of equal sets, then of components
+    best = worded.join(member.select("digest", "component"), "digest").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))
+    kept = written(best.union(rows.where("n = 0").select("uid")), "jaccard-kept", per_core=2)
+    del member, worded, best
+    free_shuffles(spark)
+    found = rows.select("uid", "packed", "rest").join(kept.hint("merge"), "uid", "left_semi")
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            rest = batch.column(1)
+            columns = rest.flatten()[:-1]
+            texts = pa.array([None if p is None else zstandard.decompress(p) for p in batch.column(0).to_pylist()], pa.binary()).cast(pa.string())
+            columns.insert(at, texts)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return found.select("packed", "rest").mapInArrow(whole, schema)
+
+
+def _linked(spark: SparkSession, docs: DataFrame, percent: int, width: int, often: int, pairs_up_to: int, block_from: int, block_rows: int, turns: int, cell_rows: int, family_rows: int, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The written rows, and the component of each set (``digest, least, component``). ``carry``: keep the other columns in ``rest``."""
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     level, frequent = token_levels(source, width, often)
+    kind = T.DataType.fromDDL(_ROWS)
+    if carry:
+        others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(x for x in docs.columns if x != text_col)]
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*others, F.lit(0).alias("none")).alias("rest"))
+        kind = kind.add("rest", source.schema["rest"].dataType)
     # numbered by Spark: a task can run several partitions, so its own number isn't enough
-    numbered = source.withColumn("uid", F.monotonically_increasing_id())
-    rows = written(numbered.mapInArrow(_index(width, spark.sparkContext.broadcast(level), frequent, percent, pairs_up_to), _CLASSED), "jaccard-rows")
-    code = F.xxhash64("digest")
-
-    # Equal sets are one class, named after one of its rows, one with an id if there is any.
-    named = (
-        rows.where("n > 0")
-        .groupBy("digest")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "uid", "doc_id", "n", "bits")).alias("of"), F.min("doc_id").alias("least"))
-        .select(code.alias("code"), "digest", F.col("of.uid").alias("cls"), F.col("of.doc_id").alias("doc_id"), F.col("of.n").alias("n"), F.col("of.bits").alias("bits"), "least")
-    )
-    entries = rows.select(code.alias("code"), F.explode("keys").alias("key"))
-    lists = entries.groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low <> high").select("key")
-    shared = entries.join(lists, "key", "left_semi").distinct()
-    entry = written(shared.join(named.select("code", "cls"), "code").select("key", "cls"), "jaccard-entries", per_core=1)
-    del entries, lists, shared
+    numbered = source.withColumn("uid", F.monotonically_increasing_id()).select("doc_id", "text", "uid", *["rest"] * carry)
+    rows = written(numbered.mapInArrow(_index(width, spark.sparkContext.broadcast(level), frequent, percent, pairs_up_to), kind), "jaccard-rows")
+
+    # Equal sets are one class, named after one of its rows.
+    named = written(rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("least")), "jaccard-named", per_core=2)
+    classes = written(rows.select(F.col("uid").alias("cls"), "n", "keys", "bits").where("size(keys) > 0").join(named.select("cls").hint("merge"), "cls", "left_semi"), "jaccard-classes", per_core=2)
+    entries = classes.select("cls", F.explode("keys").alias("key"))
+    lists = written(entries.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("fam"), F.max("cls").alias("high")).where("m > 1"), "jaccard-lists", per_core=2)
     free_shuffles(spark)
-    listed = written(named.join(entry.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id", "digest", "n", "bits"), "jaccard-listed", per_core=1)
-    wanted = listed.select("cls", "doc_id", "digest")
-    packed = source.where("doc_id is not null").mapInArrow(_squeeze, "doc_id long, packed binary")
-    texts = written(packed.join(wanted, "doc_id").select("cls", "digest", "packed"), "jaccard-texts", per_core=2)
+    # lists with the same smallest class are a family, in as many parts as its rows need
+    long = lists.where("m > 2").select("key", "m", "fam")
+    parts = long.groupBy("fam").agg(F.ceil(F.sum("m") / family_rows).alias("parts"))
+    family = F.xxhash64("fam", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("fam")
+    longer = entries.join(long.join(parts, "fam").select("key", "m", family).hint("merge"), "key").select("key", "m", "fam", "cls")
+    # lists of two, each pair of classes once
+    two = lists.where("m = 2").select("fam", "high").distinct().withColumn("key", F.xxhash64("fam", "high"))
+    two = two.select("key", F.lit(2).cast("long").alias("m"), F.col("key").alias("fam"), F.explode(F.array("fam", "high")).alias("cls"))
+    entry = written(longer.unionByName(two), "jaccard-entries", per_core=2)
+    del entries, lists, long, parts, longer, two
     free_shuffles(spark)
 
-    # Blocks, several times: by a large list of a class and, for lists with several components, another one.
-    links: DataFrame | None = None
+    # Blocks of long lists, several times: by a large list of a class and, for lists with several components, another one.
+    packed = rows.select(F.col("uid").alias("cls"), "packed")
+    hot = entry.where(F.col("m") >= block_from)
+    texts = written(packed.join(hot.select("cls").distinct().hint("merge"), "cls", "left_semi"), "jaccard-texts", per_core=2)
+    attributes = classes.select("cls", "n", "bits")
     label: DataFrame | None = None
     for turn in range(turns):
-        own = entry.withColumn("label", F.col("cls")) if label is None else _open(entry, label)
-        count = own.groupBy("key").agg(F.count("*").alias("size"))
+        own = _open(hot, label)
         # first the largest list, then one of about the largest, another one each time
-        mix = F.xxhash64("key", F.lit(turn)) if turn else F.col("size")
-        best = F.max(F.struct(F.ceil(F.log2("size")).alias("level"), mix.alias("mix"), "key"))
-        home = own.join(count, "key").groupBy("cls", "label").agg(best.alias("best")).select("cls", "label", F.col("best.key").alias("home"))
-        size = home.groupBy("home").agg(F.ceil(F.count("*") / block_rows).alias("salts"))
-        dealt = written(home.join(size, "home").select("cls", "label", "home", F.pmod(F.xxhash64("cls", F.lit(turn)), "salts").alias("salt")), "jaccard-dealt", per_core=1)
-        block = texts.join(_small(dealt, broadcast_rows), "cls").select("home", "salt", "cls", "label", "digest", "packed").repartition("home", "salt").sortWithinPartitions("home", "salt", "cls")
-        found = written(block.mapInArrow(_blocks(width, percent), "a long, b long"), "jaccard-links", per_core=1)
-        del block
-        links = found if links is None else links.union(found)
-        label = components(links)
+        mix = F.xxhash64("key", F.lit(turn)) if turn else F.col("m")
+        best = F.max(F.struct(F.ceil(F.log2("m")).alias("level"), mix.alias("mix"), "key"))
+        home = own.groupBy("cls", "label").agg(best.alias("best")).select("cls", "label", F.col("best.key").alias("home"))
+        salts = home.groupBy("home").agg(F.ceil(F.count("*") / block_rows).alias("salts"))
+        dealt = written(home.join(salts, "home").select("cls", "label", F.xxhash64("home", F.pmod(F.xxhash64("cls", F.lit(turn)), "salts")).alias("block")), "jaccard-dealt", per_core=1)
+        block = texts.join(dealt.hint("merge"), "cls").select("block", "label", "packed").repartition("block").sortWithinPartitions("block")
+        found = written(block.mapInArrow(_blocks(width, percent), "a long, b long").distinct(), "jaccard-links", per_core=1)
+        label = written(_merged(label, components(found)), "jaccard-labels", per_core=1)
+        attributes = attributes.join(dealt.select("cls", F.col("block").alias(f"block{turn}")).hint("merge"), "cls", "left").fillna(0, [f"block{turn}"])
+        del own, home, salts, dealt, block, found
         free_shuffles(spark)
+    del texts, hot
+
+    # The candidates of lists with several components.
+    mixed = _open(entry, label)
+    if label is None:
+        mixed = _labelled(entry, None)
+    whole = mixed.where(F.col("m") <= cell_rows).select("fam", F.lit(0).cast("long").alias("part"), "key", "cls", "label", F.lit(0).alias("side"))
+    long = mixed.where(F.col("m") > cell_rows)
+    largest = long.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"))
+    largest = largest.select("key", F.col("top.label").alias("top"), F.ceil(F.col("all") / cell_rows).alias("down"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.count")) / cell_rows)).alias("across"))
+    cells = long.join(largest, "key")
+    # a cell: some of what is outside the largest component, and some of all
+    where = lambda salt, n: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    side = lambda of, k: of.select("fam", (F.col("j") * F.col("across") + F.col("i") + 1).alias("part"), "key", "cls", "label", F.lit(k).alias("side"))
+    outside = side(cells.where("label <> top").withColumn("i", where(1, "across")).withColumn("j", every("down")), 1)
+    inside = side(cells.withColumn("j", where(2, "down")).withColumn("i", every("across")), 2)
+    listed = whole.unionByName(outside).unionByName(inside).join(attributes.hint("merge"), "cls")
+    names = ["fam", "part", "key", "cls", "label", "side", "n", "bits", *[f"block{t}" for t in range(turns)]]
+    listed = listed.select(*names).repartition("fam", "part").sortWithinPartitions("fam", "part", "key")
+    pairs = written(listed.mapInArrow(_candidates(percent), "a long, b long, la long, lb long").distinct(), "jaccard-pairs", per_core=1)
+    del entry, classes, attributes, mixed, whole, long, largest, cells, outside, inside, listed
+    free_shuffles(spark)
 
-    # The rest: what is outside the largest component of its list meets the others of the list.
-    marked = written(_open(entry, label).join(listed.select("cls", "n", "bits"), "cls"), "jaccard-rest", per_core=1)
-    largest = marked.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
-    outside = marked.join(largest, "key").where("label <> top").select("key", "cls", "n", "bits", "label", F.lit(True).alias("outside"))
-    others = marked.join(largest, "key").select("key", "cls", "n", "bits", "label", (F.col("label") != F.col("top")).alias("outside"))
-    x, y = outside.alias("x"), others.alias("y")
-    once = (~F.col("y.outside")) | (F.col("x.cls") < F.col("y.cls"))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _near_bits(percent))
-    pairs = written(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct(), "jaccard-pairs", per_core=1)
-    named_in = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    needed = texts.join(_small(named_in, broadcast_rows), "cls", "left_semi")
-    side = lambda n: needed.select(F.col("cls").alias(n), F.col("digest").alias(f"d{n}"), F.col("packed").alias(f"p{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "la", "lb", "da", "pa", "db", "pb").repartition("a").sortWithinPartitions("a", "lb")
+    # Their verification.
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    needed = written(packed.join(wanted.hint("merge"), "cls", "left_semi"), "jaccard-texts", per_core=2)
+    of = lambda n: needed.select(F.col("cls").alias(n), F.col("packed").alias(f"p{n}")).hint("merge")
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("la", "lb", "pa", "pb", "a", "b").repartition("a", F.pmod(F.hash("b"), F.lit(16))).sortWithinPartitions("a")
     rest = written(both.mapInArrow(_verify(width, percent), "a long, b long").distinct(), "jaccard-links", per_core=1)
-    del x, y, outside, others, met, pairs, named_in, needed, both
+    label = written(_merged(label, components(rest)), "jaccard-labels", per_core=1)
+    del pairs, wanted, needed, both, rest
     free_shuffles(spark)
-    last = components(rest)
-
-    member = (
-        named.select("digest", "cls", "least")
-        .join(label.withColumnRenamed("node", "cls"), "cls", "left")
-        .withColumn("label", F.coalesce("label", "cls"))
-        .join(last.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left")
-        .select("digest", "least", F.coalesce("last", "label").alias("component"))
-    )
-    smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = member.join(smallest, "component").select("digest", "component_id")
-    return (
-        rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
-        .join(of, "digest", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
-
 
-def _small(df: DataFrame, most: int) -> DataFrame:
-    """``df``, of a few numbers a row, to be broadcast if it has ``most`` rows at most; else Spark joins by shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def _open(entry: DataFrame, label: DataFrame) -> DataFrame:
-    """The entries of lists that hold several components, with their component."""
-    named = entry.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return named.join(mixed, "key", "left_semi")
+    return rows, _labelled(named, label).select("digest", "least", F.col("label").alias("component"))
