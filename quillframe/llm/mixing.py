@@ -2,13 +2,14 @@
 
 A classifier learnt from a labelled table gives each document posteriors over domains. Then
 nonnegative document rates are fitted by least squares, so that the expected tokens of each domain
-(rate x tokens x posterior, summed) match the targets. The fit is a semismooth Newton method on
-the dual problem and not a projected gradient: there are as many unknowns as domains, so each
-step solves with their matrix.
+(rate x tokens x posterior, summed) match the targets. The fit is a projected gradient on the
+rates themselves: from 1, each step moves every rate against its gradient and projects it onto
+the nonnegative; the step's length is spectral (Barzilai and Borwein), with the safe length
+where that doesn't come nearer.
 
 Only DataFrame functions are used. A document's posteriors are an expression of its own row, and
-its rate is the projection of a step along its posteriors, ``max(0, 1 - p . v)``; what the
-iterations pass on is ``v``, one number for each domain. So nothing is shuffled but sums.
+so is its rate: the gradient of a rate is its row's posteriors times the gaps of the domains, so
+the steps so far, one vector of the domains each, say all rates. Nothing is shuffled but sums.
 """
 
 from __future__ import annotations
@@ -89,60 +90,60 @@ def with_membership(docs: DataFrame, model: Domains, text_col: str = "text") ->
     return out.withColumns({"n_tokens": F.col(f"{new}.n"), **{f"p_{d}": x / sum(share, F.lit(0.0)) for d, x in zip(model.names, share)}}).drop(new)
 
 
-def rate_of(model: Domains, v: list[float]) -> Column:
-    """The rate that a dual vector gives a row with posteriors: a step from 1, projected onto the nonnegative."""
-    step = sum((F.col(f"`p_{d}`") * F.lit(float(x)) for d, x in zip(model.names, v)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.lit(1.0) - step)
+def rate_of(model: Domains, steps: list[list[float]]) -> Column:
+    """The rate of a row with posteriors: from 1 by each step, projected onto the nonnegative each time."""
+    rate = F.lit(1.0)
+    for step in steps:
+        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"`p_{d}`") * F.lit(float(x)) for d, x in zip(model.names, step)), F.lit(0.0)))
+    return rate
 
 
-def fit_rates(members: DataFrame, model: Domains, targets: dict[str, float], budget: float | None = None, ridge: float = 1e-6, tolerance: float = 1e-7, most: int = 40) -> list[float]:
-    """The vector ``v`` whose rates bring the expected tokens of the domains nearest to the targets.
+def fit_rates(members: DataFrame, model: Domains, targets: dict[str, float], budget: float | None = None, tolerance: float = 1e-7, most: int = 60) -> list[list[float]]:
+    """The steps whose rates bring the expected tokens of the domains nearest to the targets.
 
-    Least squares of (expected tokens - targets), with the pull ``ridge`` of the rates towards 1,
-    by semismooth Newton steps on the dual: each step solves for the gap with the matrix of the
-    documents whose rate is positive, and is halved while it doesn't come nearer. ``targets``:
-    weights, which are scaled to sum to 1; ``budget``: their tokens together, all tokens of the
-    table if None. Where there are no tokens the rates stay 1. Where the line search fails or
-    ``most`` steps leave a gap of ``tolerance`` (in shares of all tokens) or more, a warning says
-    how large it is; the gap is that of the least squares, so an unreachable target has none.
+    Least squares of (expected tokens - targets), in shares of all tokens, by projected gradient
+    on the rates, in the metric that weighs each document by its tokens. ``targets``: weights,
+    which are scaled to sum to 1; ``budget``: their tokens together, all tokens of the table if
+    None. Where there are no tokens the rates stay 1. It ends when the gap or the move of the
+    rates by a step of length 1 falls below ``tolerance``; where ``most`` steps don't reach that,
+    a warning says how large they are.
     """
     names, k = model.names, len(model.names)
     weight = np.array([max(0.0, float(targets.get(d, 0.0))) for d in names])
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
     if not total or not weight.sum():
-        return [0.0] * k
-    want = weight / weight.sum() * (budget or total) / total  # as shares of all tokens
+        return []
+    want = weight / weight.sum() * (budget or total) / total
     share = F.col("n_tokens") / F.lit(float(total))
-
-    def at(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rate = rate_of(model, v.tolist())
-        p = [F.col(f"`p_{d}`") for d in names]
-        sums = [F.sum(share * rate * x).alias(f"e{i}") for i, x in enumerate(p)]
-        on = F.when(rate > 0, share).otherwise(0.0)
-        sums += [F.sum(on * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
-        row = members.agg(*sums).first()
-        m = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        return np.array([row[f"e{i}"] for i in range(k)]) - want - ridge * v, m
-
-    v = np.zeros(k)
-    gap, m = at(v)
-    for _ in range(most):
-        if np.abs(gap).max() < tolerance:
-            break
-        step = np.linalg.solve(m + ridge * np.eye(k), gap)
-        size = 1.0
-        while size > 1e-3:
-            next_gap, next_m = at(v + size * step)
-            if np.linalg.norm(next_gap) < np.linalg.norm(gap) * (1 - 1e-4 * size):
+    p = [F.col(f"`p_{d}`") for d in names]
+
+    def at(steps: list[list[float]], *more: Column) -> list[float]:
+        """The expected tokens at these rates, and the move of the last step."""
+        rate, before = rate_of(model, steps), rate_of(model, steps[:-1])
+        row = members.agg(*[F.sum(share * rate * x) for x in p], F.sum(share * (rate - before) * (rate - before)), *more).first()
+        return [float(x) for x in row]
+
+    first = at([], *[F.sum(share * p[i] * p[j]) for i in range(k) for j in range(k)])
+    safe = 1.0 / max(np.linalg.eigvalsh(np.array(first[k + 1 :]).reshape(k, k)).max(), 1e-12)  # for a convex quadratic it never overshoots
+    steps: list[list[float]] = []
+    gap = np.array(first[:k]) - want
+    length, move = safe, math.inf
+    while len(steps) < most and np.abs(gap).max() >= tolerance and move >= tolerance:
+        for size in (length, safe):
+            step = [float(f"{x:.12g}") for x in size * gap]
+            found = at([*steps, step])
+            next_gap = np.array(found[:k]) - want
+            if size == safe or np.linalg.norm(next_gap) < np.linalg.norm(gap):
                 break
-            size /= 2
-        else:
-            break
-        v, gap, m = v + size * step, next_gap, next_m
+        steps.append(step)
+        change = float(((next_gap - gap) ** 2).sum())
+        move = math.sqrt(found[k]) / size
+        length = min(max(found[k] / change, safe), 1e3 * safe) if change > 0 else safe
+        gap = next_gap
     left = float(np.abs(gap).max())
-    if not left < tolerance:
-        warnings.warn(f"mixing: the fit of the rates ended with a gap of {left:.3g} (tolerance {tolerance:.3g})", RuntimeWarning, stacklevel=2)
-    return [float(f"{x:.9g}") if math.isfinite(x) else 0.0 for x in v]
+    if left >= tolerance and move >= tolerance:
+        warnings.warn(f"mixing: the fit of the rates ended with a gap of {left:.3g}, and a move of {move:.3g} (tolerance {tolerance:.3g})", RuntimeWarning, stacklevel=2)
+    return steps
 
 
 def soft_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, keep_columns: bool = False, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
@@ -151,13 +152,12 @@ def soft_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], bu
     ``labelled``: ids and domains of some documents. ``targets``: the weight of each domain.
     ``rate`` is how often a document is to be taken, on average: 0 leaves it out, 2.5 takes it
     two or three times. Null and blank texts have no tokens and the prior as posteriors. Repeated
-    rows count and stay repeated; an empty table gives an empty result. A target that no mixture
-    of these documents can reach is met as closely as nonnegative rates can.
+    rows count and stay repeated; an empty table gives an empty result. Columns of ``docs`` named
+    like one of the new ones are replaced. A target that no mixture of these documents can reach
+    is met as closely as nonnegative rates can.
     """
     model = fit_domains(docs, labelled, sorted(targets), id_col, text_col, domain_col)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = written(with_membership(own, model).drop("text"), "mixing")
-    rate = rate_of(model, fit_rates(members, model, targets, budget))
-    if keep_columns:
-        return with_membership(docs, model, text_col).withColumn("rate", rate)
-    return members.withColumn("rate", rate)
+    own = docs if keep_columns else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    members = with_membership(own, model, text_col if keep_columns else "text").drop("rate")
+    members = written(members if keep_columns else members.drop("text"), "mixing")
+    return members.withColumn("rate", rate_of(model, fit_rates(members, model, targets, budget)))
