@@ -24,10 +24,15 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 
 
 def fold(id_col: str, parts: int):
-    """The fold of a row: crc32 of its id as text, modulo ``parts``."""
+    """The fold of a row: crc32 of its id as text, modulo ``parts``; null for a null id, from which nothing is learnt."""
     return F.crc32(F.col(id_col).cast("string")) % parts
 
 
+def held_out(id_col: str, parts: int, own: int):
+    """Whether a row's fold is ``own``; false for a null id."""
+    return F.coalesce(fold(id_col, parts) == own, F.lit(False)).alias("held_out")
+
+
 #: The weights of the languages' tokens.
 MIX_TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 
@@ -44,7 +49,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_languages(spark, docs.where(fold("doc_id", 3) != 1))
-    return detect_languages(spark, docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return detect_languages(spark, docs, model).select("doc_id", held_out("doc_id", 3, 1), "lang_pred", "score")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +84,7 @@ def quality_model(spark: SparkSession, sf_dir: str):
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_quality(spark, table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
-    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", held_out("doc_id", 5, 0), "score", "predicted")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +155,7 @@ dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGH
 pos AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
 hit AS (SELECT doc_id, i, k, item_id FROM (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS win FROM pos) JOIN win USING (k, win)),
 per AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS x FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+its AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)
 """

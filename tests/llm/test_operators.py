@@ -8,10 +8,11 @@ import re
 import warnings
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.llm import decontam, exact, html, jaccard, langid, mixing, quality, suffix, tokens, urls
+from quillframe.llm import common, decontam, exact, html, jaccard, langid, mixing, quality, suffix, tokens, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, digest int, label string, key int, `n` int"
 LONG = "lorem ipsum dolor " * 20_000
@@ -78,7 +79,7 @@ def brute_exact(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"salt_from": 1}, {"salt_from": 1, "broadcast_rows": 0}, {"held_bytes": 10}])
+@pytest.mark.parametrize("options", [{}, {"salt_entries": 1}, {"salt_entries": 2}, {"held_bytes": 10}])
 def test_exact(spark, options):
     rng = random.Random(3)
     rows = [(i, rng.choice(["a b", "ab", " a\tb ", "c", "", None, "ab\n"])) for i in range(80)]
@@ -92,6 +93,39 @@ def test_exact_odd(spark):
     assert exact.exact_dedup(empty(spark)).collect() == []
 
 
+def test_unique_documents_tell_rows_apart(spark, tmp_path):
+    rows = [(1, "a b c"), (None, "a b c"), (None, "x"), (5, "other"), (3, "same text"), (5, "same text"), (5, "other"), (6, None), (7, " ")]
+    want = [(None, "x"), (1, "a b c"), (3, "same text"), (5, "other"), (7, " ")]
+    docs = spark.createDataFrame([(i, t, "r", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row string, kept int").repartition(3)
+    docs.write.parquet(str(tmp_path / "docs"))
+    for df in (docs, spark.read.parquet(str(tmp_path / "docs")), spark.read.parquet(str(tmp_path / "docs")).where("kept >= 0")):
+        got = exact.unique_documents(df)
+        assert got.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_tables_go_with_their_readers(spark):
+    import gc
+    import os
+
+    def settle():
+        for _ in range(2):
+            gc.collect()
+            spark._jvm.System.gc()
+        common.sweep(spark)
+
+    table = common.written(spark.range(5), "kept")
+    path = table.inputFiles()[0].removeprefix("file://")
+    held = table.where("id > 1").selectExpr("id + 1 AS x")
+    del table
+    settle()
+    assert os.path.exists(path) and held.count() == 3
+    del held
+    settle()
+    settle()
+    assert not os.path.exists(path)
+
+
 # URL filters
 
 
@@ -134,12 +168,13 @@ def brute_hits(text, items, n):
 
 
 @pytest.mark.parametrize("block", [1 << 20, 40])
-def test_contamination(spark, block):
+def test_contamination(spark, block, monkeypatch):
+    monkeypatch.setattr(decontam, "PORTION", 1)
     items = [(1, "One two THREE four five six"), (2, "alpha-beta"), (3, None), (4, "!!"), (5, "two three four five"), (5, "two three four five"), (6, "é ü 漢字")]
     texts = [(1, "zero one, two; three four FIVE six seven"), (2, "ALPHA beta gamma alpha\nbeta"), (3, None), (4, ""), (5, "one two three"), (6, "x é Ü é ü 漢字 y"), (6, "x é Ü é ü 漢字 y"), (7, "alphabeta alpha"), (None, "two three four five")]
     docs = make(spark, [(i, t, None) for i, t in texts])
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(spark, docs, bench, n=4, block_bytes=block).collect()
+    got = decontam.contamination(spark, docs, bench, n=4, shard_bytes=block).collect()
     assert len(got) == len(texts)
     want = {i: brute_hits(t, items, 4) for i, t in texts}
     plain = dict(texts)
@@ -151,6 +186,20 @@ def test_contamination(spark, block):
             assert len(inner) == s["behind"] - s["first"]
     assert decontam.contamination(spark, empty(spark), bench).collect() == []
     assert decontam.contamination(spark, docs, bench.limit(0)).where("size(spans) > 0").count() == 0
+    clean = decontam.keep_clean(spark, docs, bench, n=4, shard_bytes=block)
+    assert clean.columns == docs.columns
+    assert sorted((r["text"] for r in clean.collect()), key=str) == sorted((t for _, t in texts if not brute_hits(t, items, 4)[1]), key=str)
+    with pytest.raises(ValueError, match="most_bytes"):
+        decontam.contamination(spark, docs, bench, most_bytes=5)
+
+
+def test_contamination_odd(spark):
+    items = spark.createDataFrame([(None, "one two three four"), (7, "one two three four"), (None, None)], "item_id long, text string")
+    docs = make(spark, [(1, "ONE two, three four", None), (2, "x " * 200_000 + "one two three four", None), (3, "y" * 300_000, None)])
+    got = {r["doc_id"]: r for r in decontam.contamination(spark, docs, items, n=4).collect()}
+    assert got[1]["items"] == ["7"] and got[1]["spans"][0]["behind"] == 4
+    assert got[2]["n_words"] == 200_004 and got[2]["spans"][0]["first"] == 200_000 and got[2]["spans"][0]["start"] == 400_000
+    assert got[3]["n_words"] == 1 and not got[3]["spans"]
 
 
 # n-gram Jaccard join
@@ -179,7 +228,7 @@ def brute_components(rows, percent=85, width=4):
     return sorted((key, len(s), least[find(i)]) for i, ((key, _), s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("options", [{}, {"often": 1}, {"often": 1, "pairs_up_to": 60}, {"block_rows": 2, "often": 0}])
+@pytest.mark.parametrize("options", [{}, {"often": 1}, {"often": 1, "pairs_up_to": 60}, {"block_rows": 2, "block_from": 3, "cell_rows": 4, "family_rows": 5, "often": 0}])
 def test_components(spark, options):
     rows = [(i, t) for i, t, _ in corpus()]
     df = make(spark, [(i, t, None) for i, t in rows], 5)
@@ -203,6 +252,38 @@ def test_components_chain(spark):
 def test_components_odd(spark):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similarity_components(spark, odd(spark)).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 3, 4), (5, 3, 4), (6, 1, 6), (None, 2, None)} <= got
+
+
+def test_a_row_without_id_links_others(spark):
+    base = [f"w{k}" for k in range(60)]
+    chain = [" ".join(base[k * 2 : k * 2 + 40]) for k in range(3)]  # the first and the last are no near copies
+    rows = [(1, chain[0]), (None, chain[1]), (2, chain[2]), (2, "another text with this id"), (None, "a row of its own")]
+    df = make(spark, [(i, t, None) for i, t in rows])
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.similarity_components(spark, df, width=1).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (2, 2), (None, None)], key=str)
+    kept = jaccard.distinct_documents(spark, df, 85, 1)
+    assert kept.columns == df.columns and sorted(r["text"] for r in kept.collect()) == sorted([chain[0], "another text with this id", "a row of its own"])
+
+
+def test_shingler_against_plain_words():
+    rng = random.Random(3)
+    texts = [rng.choice([None, "", " ", "\t\n"]) if rng.random() < 0.2 else "".join(rng.choice("aAbB\x0b\x85 é漢 \n\t  cx") for _ in range(rng.randint(0, 120))) for _ in range(200)]
+    texts += ["x" * 5000, "y " * 3000, "z" * 700 + " " + "z" * 900]
+
+    def plain(t, width):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        k = min(width, len(w))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+    for block in (8, 64, 1 << 16):
+        for width in (1, 4):
+            got = jaccard.Shingler(width, block).sets_of(pa.array(texts, pa.string()))
+            want = [plain(t, width) for t in texts]
+            assert [len(x) for x in got] == [len(x) for x in want]
+            assert len(set(np.concatenate(got).tolist())) == len(set().union(*want))
+
+
+def test_odd_components_of_an_empty_table(spark):
     assert jaccard.similarity_components(spark, empty(spark)).collect() == []
 
 
@@ -396,6 +477,24 @@ def test_mixing(spark):
     assert mixing.soft_mix(empty(spark), labelled, targets).collect() == []
 
 
+def test_mixing_against_plain_projected_gradient(spark):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.3] * 3, 80)
+    tokens = rng.integers(0, 50, 80)
+    members = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(tokens, p)], "n_tokens long, p_a double, p_b double, p_c double")
+    model = mixing.Domains(["a", "b", "c"], [0.0] * 3, [[0.0]] * 3)
+    share = tokens / tokens.sum()
+    for targets, budget in (({"a": 0.6, "b": 0.3, "c": 0.1}, None), ({"a": 0.5, "b": 0.3, "c": 0.2}, 300.0), ({"a": 0.2, "b": 0.2, "c": 0.6}, 5000.0)):
+        want = np.array([targets[d] for d in "abc"]) * (budget or tokens.sum()) / tokens.sum()
+        rate = np.ones(80)
+        for _ in range(20_000):
+            rate = np.maximum(0, rate - p @ ((share * rate) @ p - want))
+        steps = mixing.fit_rates(members, model, targets, budget)
+        got = np.array([r["rate"] for r in members.withColumn("rate", mixing.rate_of(model, steps)).collect()])
+        assert (got >= 0).all()
+        assert (share * got) @ p == pytest.approx((share * rate) @ p, abs=1e-5)
+
+
 def test_mixing_reports_a_gap(spark):
     rng = random.Random(8)
     kinds = {"x": ["red", "green", "blue"], "y": ["one", "two", "three"]}
@@ -409,4 +508,4 @@ def test_mixing_reports_a_gap(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error", RuntimeWarning)
         mixing.fit_rates(members, model, {"x": 0.1, "y": 0.9})
-        mixing.fit_rates(members, model, {"x": 1.0, "y": 0.0}, budget=500.0)
+        mixing.fit_rates(members, model, {"x": 0.9, "y": 0.1}, budget=500.0)
