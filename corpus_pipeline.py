@@ -2,86 +2,50 @@
 
 ``run(spark, sf_dir)`` applies the stages to the documents of a folder of tables. Between two
 stages the documents are written as Parquet to the shared folder and read again. All stages but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``. Rows are told apart by numbers of their own, so
+ids that are null or repeat take no row with them that isn't meant.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quillframe.llm import queries as _queries
-from quillframe.llm.common import reads, release, table, tables, written
-from quillframe.llm.decontam import contamination
-from quillframe.llm.exact import exact_dedup
-from quillframe.llm.jaccard import similarity_components
+from quillframe.llm.common import table, written
+from quillframe.llm.decontam import keep_clean
+from quillframe.llm.exact import unique_documents
+from quillframe.llm.jaccard import distinct_documents
 from quillframe.llm.mixing import soft_mix
 from quillframe.llm.quality import keep_quality
 
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []  # tables that earlier stages wrote for themselves
-
-
-def _tidy(stage: Stage) -> Stage:
-    """``stage``, which first deletes the tables that earlier stages have left.
-
-    They are done with when the documents come from files, as then the results of the stage
-    before have been written; those that the documents still read stay.
-    """
 
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        used = reads(docs)
-        if used is not None and _left:
-            bare = lambda p: p.removeprefix("file:").lstrip("/")
-            mine = [p for p in _left if not any(bare(u).startswith(bare(p)) for u in used)]
-            release(spark, mine)
-            _left[:] = [p for p in _left if p not in mine]
-        before = set(tables())
-        out = stage(spark, docs, sf_dir)
-        _left.extend(p for p in tables() if p not in before)
-        return out
 
-    return run_stage
-
-
-@_tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     return keep_quality(spark, docs, _queries.quality_model(spark, sf_dir))
 
 
-@_tidy
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    kept = _only(docs, exact_dedup(docs).where("kept").select("doc_id"))
-    # of rows that repeat an id and a text, one
-    same = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
-    return kept.withColumn("kept_row", F.row_number().over(same)).where("kept_row = 1").select(*docs.columns)
+    return unique_documents(docs)
 
 
-@_tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest doc_id.
 
     Near duplicates share 80 % of their five-word shingles at least, by Jaccard similarity.
     """
-    found = similarity_components(spark, docs, percent=80, width=5)
-    return _only(docs, found.where("doc_id <=> component_id").select("doc_id"))
+    return distinct_documents(spark, docs, percent=80, width=5)
 
 
-@_tidy
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an occurrence of a benchmark window."""
-    found = contamination(spark, docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where(F.size("spans") == 0).select("doc_id"))
+    return keep_clean(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
-@_tidy
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their tokens, posteriors and the rate that meets the target weights.
 
@@ -91,11 +55,6 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return soft_mix(docs, _queries.mix_labels(spark, sf_dir), _queries.MIX_TARGETS, keep_columns=True)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is kept; the ids are written first, so that they are worked out once."""
-    return docs.join(written(kept.distinct(), "kept").withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminated), ("mixing", mixed)]
 
 #: The quality classifier's training and the fit of the rates have no equivalent in SQL.
