@@ -1,7 +1,8 @@
 """The aggregate registry and grouped aggregation.
 
 Aggregates skip nulls and give doubles named ``{column}_{function}``; standard deviation and
-variance are those of the population, median and quantiles interpolate. A group without values
+variance are those of the population, median and quantiles interpolate. Grouped medians come
+from the counts of the values, sorted within their group, and from no reducer's map of them. A group without values
 gives NaN for every function. Order, minimum, maximum and distinct counts of columns that are no
 numbers are native and not their value as a number.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,8 +73,42 @@ def pairs(aggs: Mapping[str, str | Sequence[str]] | Sequence[tuple[str, str]]) -
 
 def agg(df: DataFrame, keys: Sequence[str], aggs, order_by: Sequence[str] = ()) -> DataFrame:
     """Group by the keys (nulls are a key) and aggregate; one group of all rows without keys."""
-    columns = [result(f, c, df.schema[c].dataType, order_by).alias(f"{c}_{f}") for c, f in pairs(aggs)]
-    return df.groupBy(*keys).agg(*columns) if keys else df.agg(*columns)
+    wanted = pairs(aggs)
+    medians = list(dict.fromkeys(c for c, f in wanted if f == "median" and isinstance(df.schema[c].dataType, T.NumericType)))
+    columns = [result(f, c, df.schema[c].dataType, order_by).alias(f"{c}_{f}") for c, f in wanted if not (f == "median" and c in medians)]
+    out = df.groupBy(*keys).agg(*columns or [F.count(F.lit(1)).alias("__rows")])
+    for c in medians:
+        found = group_quantiles(df, keys, c, [0.5]).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("q")[0].alias("__median"))
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        out = out.join(found, on, "left").withColumn(f"{c}_median", F.coalesce("__median", F.lit(float("nan")))).drop("__median", *[f"__k_{k}" for k in keys])
+    return out.select(*keys, *[f"{c}_{f}" for c, f in wanted])
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], column: str, at: Sequence[float]) -> DataFrame:
+    """The keys and ``q``, the exact interpolated quantiles of each group that has values.
+
+    Equal values are counted first; a running count in the order of the values, which spills as
+    any sort, then finds the ranks around each quantile.
+    """
+    x = F.col(column).cast("double")
+    counts = df.where(x.isNotNull()).groupBy(*keys, x.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    ranked = counts.withColumn("__upto", F.sum("__n").over(by.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    renamed = ends.select(*[F.col(k).alias(f"__e_{k}") for k in keys], "__all")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__e_{k}"))
+    joined = ranked.join(renamed, on)
+    parts = []
+    for i, p in enumerate(at):
+        rank = F.lit(float(p)) * (F.col("__all") - 1)
+        parts += [F.min(F.when(F.col("__upto") > F.floor(rank), F.col("__v"))).alias(f"__l{i}"), F.min(F.when(F.col("__upto") > F.ceil(rank), F.col("__v"))).alias(f"__h{i}"), F.first(rank - F.floor(rank)).alias(f"__f{i}")]
+    found = joined.groupBy(*keys).agg(*parts)
+    between = [F.when(F.col(f"__l{i}") == F.col(f"__h{i}"), F.col(f"__l{i}")).otherwise(F.col(f"__l{i}") * (1 - F.col(f"__f{i}")) + F.col(f"__h{i}") * F.col(f"__f{i}")) for i in range(len(at))]
+    return found.select(*keys, F.array(*between).alias("q"))
 
 
 def groups(df: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
@@ -81,19 +116,25 @@ def groups(df: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(index)).alias("rows"))
 
 
-def transform(df: DataFrame, keys: Sequence[str], target: str, fn: Callable, order_by: Sequence[str] = ()) -> DataFrame:
+def transform(df: DataFrame, keys: Sequence[str], target: str, fn: Callable | Column, order_by: Sequence[str] = (), aggregates: Mapping[str, Column] | None = None) -> DataFrame:
     """Add ``{target}_transformed``.
 
-    ``fn`` is either a function from a window specification to a column, which stays in Spark, or
-    one from a numpy vector to a vector (marked by ``fn.vector = True``), which runs in pandas on
-    whole groups; nulls count as 0 there.
+    ``fn`` is one of three: a column over the names of ``aggregates`` and the row's own, such as
+    ``F.col("x") - F.col("mean")`` with ``{"mean": F.avg("x")}``, for which each group is
+    aggregated in parts and joined back; a function from a window specification to a column, for
+    what depends on the order in the group; or one from a numpy vector to a vector (marked by
+    :func:`vector`), which runs in pandas on whole groups, so these must fit a task; nulls count
+    as 0 there.
     """
     name = f"{target}_transformed"
+    if isinstance(fn, Column):
+        table = df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(*[a.alias(n) for n, a in (aggregates or {}).items()])
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        return df.join(table, on, "left").withColumn(name, fn).drop(*[f"__k_{k}" for k in keys], *(aggregates or {}))
     if not getattr(fn, "vector", False):
-        from pyspark.sql import Window
-
-        spec = Window.partitionBy(*keys)
-        return df.withColumn(name, fn(spec))
+        return df.withColumn(name, fn(Window.partitionBy(*keys)))
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(pdf):

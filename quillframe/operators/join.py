@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import BUCKET, BUCKET_ROWS, BUCKETS, _as_number
+from .order import BUCKET, BUCKET_ROWS, bucketed
 
 HOW = ("inner", "left", "right", "outer", "cross")
 
@@ -85,34 +85,23 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = (), buc
     right ``on`` is dropped. Of right rows with equal ``on`` and ``by`` the greatest in its other
     columns counts.
 
-    Both sides are stacked and swept in order, so nothing grows beyond their sum. Where all rows
-    are one group, or a group is large, time is cut into buckets: the last right row of every
-    bucket is carried on to the later ones.
+    Both sides are stacked and swept in order, so nothing grows beyond their sum. Time is cut into
+    buckets, as a group may be large; a group's last right row of each bucket is handed to those
+    of its later buckets that hold rows.
     """
     rest = [c for c in right.columns if c != on and c not in by]
     names = _names(left.columns, rest)
     row = F.struct(*[F.col(c).alias(names[c]) for c in rest])
-    kind = left.schema[on].dataType
     l = left.select(*[F.col(c) for c in left.columns], F.lit(1).alias("__side"), F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType).alias("__row"))
     r = right.where(F.col(on).isNotNull()).select(*[(F.col(c).cast(left.schema[c].dataType) if c == on or c in by else F.lit(None).cast(left.schema[c].dataType)).alias(c) for c in left.columns], F.lit(0).alias("__side"), row.alias("__row"))
-    both = l.unionByName(r)
-    number = _as_number(F.col(on), kind)
-    n = both.count()
-    buckets = min(BUCKETS, -(-n // bucket_rows))
-    cuts = sorted(set(both.agg(F.percentile_approx(number, [k / buckets for k in range(1, buckets)], 10_000).alias("c")).first()["c"] or [])) if buckets > 1 else []
-    place = F.size(F.filter(F.lit(cuts), lambda c: c <= number)) if cuts else F.lit(0)
-    bucket = F.coalesce(place, F.lit(-1)).cast("int")
-    both = both.withColumn(BUCKET, bucket)
-    spec = Window.partitionBy(*by, BUCKET).orderBy(F.col(on).asc_nulls_first(), "__side", F.col("__row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    both = bucketed(l.unionByName(r), [on], bucket_rows)
+    group = [*by, BUCKET]
+    spec = Window.partitionBy(*group).orderBy(F.col(on).asc_nulls_first(), "__side", F.col("__row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     swept = both.withColumn("__found", F.last("__row", ignorenulls=True).over(spec)).where("__side = 1")
-    if cuts:
-        last = r.withColumn(BUCKET, bucket).groupBy(*by, BUCKET).agg(F.max_by("__row", F.struct(on, "__row")).alias("__last"))
-        # a right row is carried to every later bucket of its group up to the next one
-        until = F.lead(BUCKET, 1, len(cuts) + 1).over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(BUCKET))
-        last = last.withColumn("__until", F.greatest(until, F.col(BUCKET) + 1))
-        carried = last.withColumn("__to", F.explode(F.sequence(F.col(BUCKET) + 1, F.col("__until"))))
-        carried = carried.select(*[F.col(k).alias(f"__b_{k}") for k in by], F.col("__to").cast("long").alias("__b"), "__last").groupBy(*[f"__b_{k}" for k in by], "__b").agg(F.first("__last").alias("__last"))
-        swept = swept.join(carried, _all([F.col(k).eqNullSafe(F.col(f"__b_{k}")) for k in by] + [F.col(BUCKET).cast("long") == F.col("__b")]), "left")
-        swept = swept.withColumn("__found", F.coalesce("__found", "__last"))
-    found = F.when(F.col(on).isNotNull(), F.col("__found"))
+    # one row for each group and bucket that hold rows; a group has as many as there are buckets at most
+    last = both.groupBy(*group).agg(F.max_by("__row", F.when(F.col("__side") == 0, F.struct(on, "__row"))).alias("__last"))
+    earlier = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    handed = last.select(*[F.col(k).alias(f"__b_{k}") for k in group], F.last("__last", ignorenulls=True).over(earlier).alias("__last"))
+    swept = swept.join(handed, _all([F.col(k).eqNullSafe(F.col(f"__b_{k}")) for k in group]), "left")
+    found = F.when(F.col(on).isNotNull(), F.coalesce("__found", "__last"))
     return swept.select(*left.columns, *[found[names[c]].alias(names[c]) for c in rest])

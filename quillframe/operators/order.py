@@ -1,9 +1,9 @@
 """Row order at scale.
 
 Spark's frames have no order, so ordered operators take their order keys. A window without
-partition keys would bring all rows into one task; instead rows are dealt into buckets by value
-boundaries of the first order key. Buckets are windows of their own, and what they need from
-earlier ones is a summary of one row each.
+partition keys would bring all rows into one task; instead rows are dealt into buckets that
+follow the order of all keys. Buckets are windows of their own, and what they need from earlier
+ones is one row each, worked out from one row for each bucket.
 """
 
 from __future__ import annotations
@@ -12,10 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Rows for each bucket, and most buckets.
-BUCKET_ROWS, BUCKETS = 1 << 20, 4096
+#: Rows for each bucket, most buckets, and rows of the sample for each bucket.
+BUCKET_ROWS, BUCKETS, SAMPLED = 1 << 20, 4096, 32
 INDEX, BUCKET = "__idx", "__bucket"
 
 
@@ -32,31 +31,40 @@ def window(order_by: str | Sequence[str], partition_by: Sequence[str] = ()) -> W
     return spec.orderBy(*[F.col(k).asc_nulls_first() for k in keys_of(order_by)])
 
 
-def _as_number(column: Column, kind: T.DataType) -> Column:
-    """A number that never falls where the column rises."""
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(column.cast("timestamp")).cast("double")
-    if isinstance(kind, T.StringType):
-        return F.conv(F.hex(F.rpad(F.substring(column.cast("binary"), 1, 6), 6, F.unhex(F.lit("00")))), 16, 10).cast("double")
-    return column.cast("double")
+def cut_keys(df: DataFrame, keys: Sequence[str], buckets: int, n: int) -> Column | None:
+    """At most ``buckets`` - 1 keys, sorted, that cut ``df`` of ``n`` rows into parts of about the same size, as a literal array.
+
+    They come from a sample of rows, of a size that the number of buckets bounds.
+    """
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("k")
+    sample = df.select(key).where(F.rand(17) < min(1.0, SAMPLED * buckets / max(n, 1)))
+    at = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.floor(i * F.size("s") / buckets).cast("int"))
+    cuts = sample.agg(F.array_sort(F.collect_list("k")).alias("s")).select(F.array_distinct(F.transform(F.filter(F.array_distinct(at), lambda i: i < F.size("s")), lambda i: F.get("s", i))).alias("cuts"))
+    rows = cuts.first()["cuts"]  # one for each bucket at most
+    kinds = [df.schema[k].dataType for k in keys]
+    return F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(r, kinds))]) for r in rows]) if rows else None
+
+
+def place_of(cuts: Column, keys: Sequence[str]) -> Column:
+    """How many of the sorted ``cuts`` aren't above the keys, by binary search."""
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    steps = [1 << k for k in reversed(range(BUCKETS.bit_length()))]
+    fits = lambda at: (at <= F.size(cuts)) & (F.get(cuts, at - 1) <= key)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(fits(at + step), at + step).otherwise(at))
 
 
 def bucketed(df: DataFrame, order_by: str | Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``df`` with ``__bucket``, from 0: buckets follow the order of the first key, with about ``bucket_rows`` rows.
+    """``df`` with ``__bucket``, from 0: buckets follow the order of the keys, with about ``bucket_rows`` rows.
 
-    Rows with equal first keys share a bucket. The boundaries are approximate quantiles, which
-    one aggregation finds.
+    Rows whose keys are all equal share a bucket; nulls are the smallest values.
     """
-    first = keys_of(order_by)[0]
-    number = _as_number(F.col(first), df.schema[first].dataType)
+    keys = keys_of(order_by)
     n = df.count()
     buckets = min(BUCKETS, -(-n // bucket_rows))
-    if buckets <= 1:
+    cuts = cut_keys(df, keys, buckets, n) if buckets > 1 else None
+    if cuts is None:
         return df.withColumn(BUCKET, F.lit(0))
-    cuts = df.agg(F.percentile_approx(number, [k / buckets for k in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    place = F.coalesce(F.size(F.filter(F.lit(cuts), lambda c: c <= number)), F.lit(0)) if cuts else F.lit(0)
-    return df.withColumn(BUCKET, F.when(number.isNull(), 0).otherwise(place).cast("int"))
+    return df.withColumn(BUCKET, place_of(cuts, keys))
 
 
 def indexed(df: DataFrame, order_by: str | Sequence[str], name: str = INDEX, start: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -99,35 +107,32 @@ def reaching(df: DataFrame, order_by: str | Sequence[str], columns: dict[str, ob
     return halo.withColumns({k: f(spec) for k, f in columns.items()}).where("not __halo").drop("__halo", BUCKET, INDEX)
 
 
-def running(df: DataFrame, order_by: str | Sequence[str], columns: dict[str, tuple[object, object]], partition_by: Sequence[str] = (), backwards: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def plus(a: Column, b: Column) -> Column:
+    """The sum of two numbers, of which a null counts as nothing."""
+    return F.coalesce(a + b, a, b)
+
+
+def running(df: DataFrame, order_by: str | Sequence[str], columns: dict[str, tuple], partition_by: Sequence[str] = (), backwards: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add running aggregates over all rows up to each row (or, ``backwards``, from it on).
 
-    ``columns``: name to (aggregate, combine). ``aggregate`` is an aggregate column, such as
-    ``F.sum("x")``; ``combine`` joins the value of the buckets before with the running one of the
-    row's own bucket, either of which may be null. Without partition keys each bucket is worked
-    out by itself, and the buckets' aggregates, one row each, are combined first.
+    ``columns``: name to (aggregate, merge, combine). ``aggregate`` is an aggregate column, such
+    as ``F.sum("x")``; ``merge`` makes the aggregate of several buckets from a column of theirs,
+    in order, such as ``F.sum``; ``combine`` joins the value of the buckets before with the
+    running one of the row's own bucket, either of which may be null. Without partition keys each
+    bucket is worked out by itself, and a window over one row for each bucket says what comes
+    before it.
     """
     keys = keys_of(order_by)
     frame = (0, Window.unboundedFollowing) if backwards else (Window.unboundedPreceding, 0)
     if partition_by:
         spec = window(keys, partition_by).rowsBetween(*frame)
-        return df.withColumns({k: agg.over(spec) for k, (agg, _) in columns.items()})
+        return df.withColumns({k: agg.over(spec) for k, (agg, _, _) in columns.items()})
     dealt = bucketed(df, keys, bucket_rows)
     spec = window(keys, [BUCKET]).rowsBetween(*frame)
-    out = dealt.withColumns({k: agg.over(spec) for k, (agg, _) in columns.items()})
-    totals = dealt.groupBy(BUCKET).agg(*[agg.alias(f"__t{i}") for i, (agg, _) in enumerate(columns.values())])
-    sides = totals.alias("a").join(totals.alias("b"), F.col("a.__bucket") > F.col("b.__bucket") if not backwards else F.col("a.__bucket") < F.col("b.__bucket"))
-    step = -1 if backwards else 1
-    gathered = sides.groupBy(F.col(f"a.{BUCKET}").alias(BUCKET)).agg(F.array_sort(F.collect_list(F.struct((F.col(f"b.{BUCKET}") * step).alias("o"), *[F.col(f"b.__t{i}").alias(f"t{i}") for i in range(len(columns))]))).alias("__before"))
-    joined = out.join(F.broadcast(gathered), BUCKET, "left")  # at most BUCKETS rows
-    kinds = {k: out.schema[k].dataType for k in columns}
-    made = {}
-    for i, (k, (_, combine)) in enumerate(columns.items()):
-        none = F.lit(None).cast(kinds[k])
-        past = _fold(gathered.schema["__before"].dataType, none, i, combine)
-        made[k] = combine(past, F.col(k))
-    return joined.withColumns(made).drop("__before", BUCKET)
-
-
-def _fold(kind: T.DataType, none: Column, i: int, combine) -> Column:
-    return F.aggregate(F.coalesce(F.col("__before"), F.array().cast(kind)), none, lambda acc, x: combine(acc, x[f"t{i}"]))
+    out = dealt.withColumns({k: agg.over(spec) for k, (agg, _, _) in columns.items()})
+    totals = dealt.groupBy(BUCKET).agg(*[agg.alias(f"__t{i}") for i, (agg, _, _) in enumerate(columns.values())])
+    earlier = Window.partitionBy(F.lit(0)).orderBy(F.desc(BUCKET) if backwards else F.asc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    past = totals.select(BUCKET, *[merge(F.col(f"__t{i}")).over(earlier).alias(f"__t{i}") for i, (_, merge, _) in enumerate(columns.values())])
+    joined = out.join(F.broadcast(past), BUCKET, "left")  # at most BUCKETS rows
+    made = {k: combine(F.col(f"__t{i}"), F.col(k)) for i, (k, (_, _, combine)) in enumerate(columns.items())}
+    return joined.withColumns(made).drop(*[f"__t{i}" for i in range(len(columns))], BUCKET)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.types import numeric_columns
 from .agg import aggregate
 from .order import indexed, keys_of
+from .stats import quantiles
 
 
 def concat_rows(frames: Sequence[DataFrame]) -> DataFrame:
@@ -130,11 +131,11 @@ def cut_code(df: DataFrame, column: str, bins: int) -> Column:
 
 
 def _label(low: float, high: float, opening: str) -> str:
-    return f"{opening}{low:g}, {high:g}]"
+    return f"{opening}{low:g},{high:g}]"
 
 
 def cut(df: DataFrame, column: str, bins: int, name: str | None = None) -> DataFrame:
-    """Add the bin of equal width as a label ``(low, high]``."""
+    """Add the bin of equal width as a label ``(low,high]``."""
     edges = cut_edges(df, column, bins)
     code = cut_code(df, column, bins)
     labels = F.array(*[F.lit(_label(a, b, "(")) for a, b in zip(edges, edges[1:])]) if edges else F.array().cast("array<string>")
@@ -143,8 +144,8 @@ def cut(df: DataFrame, column: str, bins: int, name: str | None = None) -> DataF
 
 def qcut_edges(df: DataFrame, column: str, q: int) -> list[float]:
     """The quantiles 0, 1/q, .., 1, exact."""
-    got = df.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(k / q) for k in range(q + 1)]))).first()[0]
-    return list(got) if got else []
+    got = quantiles(df, {column: [k / q for k in range(q + 1)]})[column]
+    return [] if got[0] != got[0] else got
 
 
 def qcut_code(df: DataFrame, column: str, q: int) -> Column:
@@ -158,7 +159,7 @@ def qcut_code(df: DataFrame, column: str, q: int) -> Column:
 
 
 def qcut(df: DataFrame, column: str, q: int, name: str | None = None) -> DataFrame:
-    """Add the quantile bin as a label ``[low, high]``."""
+    """Add the quantile bin as a label ``[low,high]``."""
     edges = qcut_edges(df, column, q)
     labels = F.array(*[F.lit(_label(a, b, "[")) for a, b in zip(edges, edges[1:])]) if edges else F.array().cast("array<string>")
     return df.withColumn(name or f"{column}_qcut", F.get(labels, qcut_code(df, column, q)))

@@ -32,8 +32,9 @@ def tail(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
 
 
 def slice_rows(df: DataFrame, start: int, stop: int, order_by: Sequence[str]) -> DataFrame:
-    """The rows at positions [start, stop)."""
-    return _sorted(df, order_by).offset(max(start, 0)).limit(max(stop - max(start, 0), 0))
+    """The rows at positions [start, stop), by the position of each row, so that no task gets all before ``stop``."""
+    at = F.col("__idx")
+    return _sorted(indexed(df, order_by, "__idx").where((at >= max(start, 0)) & (at < stop)), ["__idx"]).drop("__idx")
 
 
 def take(df: DataFrame, positions: Sequence[int], order_by: Sequence[str], place: str | None = None) -> DataFrame:

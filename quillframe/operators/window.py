@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .agg import aggregate
-from .order import BUCKET_ROWS, indexed, reaching, running, window
+from .order import BUCKET_ROWS, indexed, plus, reaching, running, window
 
 ROLLING = ("mean", "sum", "std", "var", "min", "max", "count", "median")
 
@@ -81,15 +81,13 @@ def expanding(df: DataFrame, column: str, fn: str, order_by: Sequence[str], part
     if fn not in EXPANDING:
         raise ValueError(f"expanding aggregate must be one of {EXPANDING}")
     x = F.col(column).cast("double")
-    plus = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
-    parts: dict[str, tuple] = {"__n": (F.count(x), plus)}
-    if fn in ("mean", "sum", "std"):
-        parts["__s"] = (F.sum(x), plus)
+    parts: dict[str, tuple] = {"__n": (F.count(x), F.sum, plus)}
+    if fn in ("mean", "sum"):
+        parts["__s"] = (F.sum(x), F.sum, plus)
     if fn == "std":
-        parts["__m"] = (F.stddev_pop(x), plus)
+        parts["__m"] = (F.stddev_pop(x), F.sum, plus)  # only within partitions
     if fn in ("min", "max"):
-        pick = F.least if fn == "min" else F.greatest
-        parts["__e"] = ((F.min if fn == "min" else F.max)(x), lambda a, b, pick=pick: pick(a, b))
+        parts["__e"] = (F.min(x), F.min, F.least) if fn == "min" else (F.max(x), F.max, F.greatest)
     if fn == "std" and not partition_by:
         return _expanding_std(df, column, order_by, min_periods, name or f"{column}_expanding_std", bucket_rows)
     out = running(df, order_by, parts, partition_by, bucket_rows=bucket_rows)
@@ -100,11 +98,10 @@ def expanding(df: DataFrame, column: str, fn: str, order_by: Sequence[str], part
 
 def _expanding_std(df: DataFrame, column: str, order_by: Sequence[str], min_periods: int, name: str, bucket_rows: int) -> DataFrame:
     x = F.col(column).cast("double")
-    add = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
     # squares are taken around a value of the column, so that they don't drown in a large mean
     middle = df.agg(F.avg(x)).first()[0] or 0.0
     d = x - F.lit(middle)
-    out = running(df, order_by, {"__n": (F.count(x), add), "__s": (F.sum(d), add), "__q": (F.sum(d * d), add)}, bucket_rows=bucket_rows)
+    out = running(df, order_by, {"__n": (F.count(x), F.sum, plus), "__s": (F.sum(d), F.sum, plus), "__q": (F.sum(d * d), F.sum, plus)}, bucket_rows=bucket_rows)
     n = F.col("__n")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("__q") / n - (F.col("__s") / n) * (F.col("__s") / n)))
     return out.withColumn(name, F.when(n >= min_periods, F.when(n >= 2, spread).otherwise(float("nan")))).drop("__n", "__s", "__q")
@@ -136,9 +133,7 @@ CUMULATIVE = ("sum", "prod", "max", "min")
 def cumulative(df: DataFrame, column: str, fn: str, order_by: Sequence[str], partition_by: Sequence[str] = (), name: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The running sum, product, maximum or minimum; a null stays null and is passed over."""
     x = F.col(column).cast("double")
-    plus = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
-    times = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a * b)
-    known = {"sum": (F.sum(x), plus), "prod": (F.product(x), times), "max": (F.max(x), F.greatest), "min": (F.min(x), F.least)}
+    known = {"sum": (F.sum(x), F.sum, plus), "prod": (F.product(x), F.product, lambda a, b: F.coalesce(a * b, a, b)), "max": (F.max(x), F.max, F.greatest), "min": (F.min(x), F.min, F.least)}
     if fn not in known:
         raise ValueError(f"cumulative aggregate must be one of {CUMULATIVE}")
     out = running(df, order_by, {"__cum": known[fn]}, partition_by, bucket_rows=bucket_rows)
@@ -210,8 +205,7 @@ def rank(df: DataFrame, column: str, method: str = "average", order_by: Sequence
             ranked = indexed(known, [column, *order_by], name, 1).withColumn(name, F.col(name).cast("double"))
         return ranked.unionByName(df.where(F.col(column).isNull()).withColumn(name, F.lit(None).cast("double")))
     counts = known.groupBy(*keys, column).agg(F.count("*").alias("__n"))
-    plus = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
-    sums = running(counts, [column], {"__upto": (F.sum("__n"), plus), "__distinct": (F.count("__n"), plus)}, keys)
+    sums = running(counts, [column], {"__upto": (F.sum("__n"), F.sum, plus), "__distinct": (F.count("__n"), F.sum, plus)}, keys)
     upto, n = F.col("__upto"), F.col("__n")
     value = {"average": upto - (n - 1) / F.lit(2.0), "min": upto - n + 1, "max": upto, "dense": F.col("__distinct") - 1}[method].cast("double")
     table = sums.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(column).alias("__v"), value.alias(name))

@@ -7,6 +7,7 @@ in this library; ``==`` reads as ``=``. They are rewritten as words outside of q
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,15 +35,21 @@ class SQLContext:
         return self
 
     def query(self, query: str) -> DataFrame:
-        """Run a query. A name that isn't registered must be one of the session's tables."""
-        own = self.spark
-        made = []
-        for name, df in self.frames.items():
-            if re.search(rf"\b{re.escape(name)}\b", query, re.I):
-                df.createOrReplaceTempView(name)
-                made.append(name)
-        out = own.sql(rewrite(query))
-        out.schema  # resolved here, before the views go
-        for name in made:
-            own.catalog.dropTempView(name)
-        return out
+        """Run a query. A name that isn't registered must be one of the session's tables.
+
+        A frame gets a view of a private name for as long as the query is resolved, and the query
+        a common table expression of the frame's own name, which hides a view of the session.
+        """
+        used = {n: f"qf_{uuid.uuid4().hex}" for n in self.frames if re.search(rf"\b{re.escape(n)}\b", query, re.I)}
+        text = rewrite(query)
+        if used:
+            own = ", ".join(f"`{n}` AS (SELECT * FROM `{view}`)" for n, view in used.items())
+            begun = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", text, re.I)
+            text = f"WITH {begun[1] or ''}{own}, {text[begun.end() :]}" if begun else f"WITH {own} {text}"
+        for n, view in used.items():
+            self.frames[n].createOrReplaceTempView(view)
+        try:
+            return self.spark.sql(text)
+        finally:
+            for view in used.values():
+                self.spark.catalog.dropTempView(view)

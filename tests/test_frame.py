@@ -204,8 +204,8 @@ def test_shapes(spark):
     a, b = s(spark, [1.0, 2.0, 3.0]).frame, s(spark, [1.0, 5.0, 3.0]).frame
     assert [r["x"] for r in a.compare(b).collect()] == [None, "2.0→5.0", None]
     assert listed(s(spark, ["a,b", "c", None, ""]).explode(",")) == ["a", "b", "c", None, None]
-    assert listed(s(spark, [1.0, 5.0, 10.0, 15.0, 20.0]).cut(2)) == ["(1, 10.5]"] * 3 + ["(10.5, 20]"] * 2
-    assert listed(s(spark, [float(i) for i in range(1, 6)]).qcut(2)) == ["[1, 3]"] * 3 + ["[3, 5]"] * 2
+    assert listed(s(spark, [1.0, 5.0, 10.0, 15.0, 20.0]).cut(2)) == ["(1,10.5]"] * 3 + ["(10.5,20]"] * 2
+    assert listed(s(spark, [float(i) for i in range(1, 6)]).qcut(2)) == ["[1,3]"] * 3 + ["[3,5]"] * 2
     assert R.convert_dtypes(spark.createDataFrame([("1", "1.5", "x", None)], "a string, b string, c string, d string")).dtypes == [("a", "bigint"), ("b", "double"), ("c", "string"), ("d", "bigint")]
     m = Frame.of(spark, {"dept": ["e", "e", "s"], "level": ["x", "y", "x"], "pay": [1.0, 2.0, 3.0]}).set_multi_index("dept", "level")
     assert sorted(map(tuple, m.unstack(1).collect()), key=str) == [("e", 1, 2), ("s", 3, None)]
