@@ -17,6 +17,12 @@ class SeriesBuilder:
     def __init__(self, name: str, kind: str):
         self.name, self.kind = name, kind
         self.values: list[Any] = []
+        self.labels: list[str] | None = None
+
+    def set_index(self, labels: Sequence[Any]) -> SeriesBuilder:
+        """Row labels, one for each value by the time it is built."""
+        self.labels = [str(v) for v in labels]
+        return self
 
     def append(self, value: Any) -> SeriesBuilder:
         """Add a value, cast to the builder's type where Python can."""
@@ -39,7 +45,12 @@ class SeriesBuilder:
         return len(self.values)
 
     def build(self, spark: SparkSession) -> Series:
-        return Frame.of(spark, {self.name: self.values}, {self.name: self.kind})[self.name]
+        if self.labels is None:
+            return Frame.of(spark, {self.name: self.values}, {self.name: self.kind})[self.name]
+        if len(self.labels) != len(self.values):
+            raise ValueError(f"{len(self.labels)} labels for {len(self.values)} values")
+        label = "index" if self.name != "index" else "index_"
+        return Frame.of(spark, {label: self.labels, self.name: self.values}, {label: "string", self.name: self.kind}).set_index(label)[self.name]
 
 
 def series(spark: SparkSession, name: str, values: Sequence[Any], kind: str, valid: Sequence[bool] | None = None) -> Series:

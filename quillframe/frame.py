@@ -29,6 +29,7 @@ from .operators import select as SE
 from .operators import stats as ST
 from .operators import timegroup as TG
 from .operators import window as W
+from .operators.order import indexed
 from .plans.expr import Expr
 from .plans.lazy import LazyFrame
 from .sources import files as IO
@@ -274,12 +275,10 @@ class Frame:
     parallel_agg = agg  # partial sums on every partition are how Spark aggregates
 
     def groups(self, keys: Sequence[str]) -> DataFrame:
-        from .operators.order import indexed
-
         return A.groups(indexed(self.df, self.order, "__position"), keys, "__position")
 
-    def group_transform(self, keys: Sequence[str], target: str, fn: Callable) -> Frame:
-        return self._new(A.transform(self.df, keys, target, fn, self.order))
+    def group_transform(self, keys: Sequence[str], target: str, fn: Callable | Column, aggregates: Mapping[str, Column] | None = None) -> Frame:
+        return self._new(A.transform(self.df, keys, target, fn, self.order, aggregates))
 
     def group_filter(self, keys: Sequence[str], predicate: Column | Callable) -> Frame:
         return self._new(A.filter_groups(self.df, keys, predicate))
@@ -452,6 +451,12 @@ class Series:
     def dtype(self) -> str:
         return from_spark(self._frame().schema["__x"].dataType)
 
+    def index(self) -> DataFrame:
+        """The row labels in order: those of the frame's index, or else the positions."""
+        if self.frame.index:
+            return self.frame.index_labels()
+        return indexed(self.frame.df, self.frame.order, "__at").orderBy("__at").select(F.col("__at").cast("string").alias("index"))
+
     def null_count(self) -> int:
         return self._scalar(F.count_if(F.col("__x").isNull()))
 
@@ -565,7 +570,7 @@ class Series:
         return self._scalar(A.aggregate("std", F.col("__x").cast("double")))
 
     def median(self) -> float:
-        return self._scalar(A.aggregate("median", F.col("__x").cast("double")))
+        return ST.quantile(self._frame(), "__x", 0.5)
 
     def quantile(self, p: float) -> float:
         return ST.quantile(self._frame(), "__x", p)

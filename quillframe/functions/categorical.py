@@ -48,6 +48,20 @@ class Categorical:
     def __len__(self) -> int:
         return len(self.categories)
 
+    dtype = "category"
+
+    def index(self, order_by: Sequence[str]) -> DataFrame:
+        """The positions of the rows as labels, in order."""
+        from ..operators.order import indexed
+
+        return indexed(self.frame, order_by, "__at").orderBy("__at").select(F.col("__at").cast("string").alias("index"))
+
+    def is_null(self) -> Column:
+        return self.value().isNull()
+
+    def not_null(self) -> Column:
+        return self.value().isNotNull()
+
     def null_count(self) -> int:
         return self.frame.where(self.value().isNull()).count()
 

@@ -7,35 +7,46 @@ import io
 import json as _json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .infer import typed
 
 
-def read_csv_file(spark: SparkSession, path: str, sep: str = ",", skip_lines: int = 0, header: bool = True, infer: bool = True) -> DataFrame:
+def read_csv_file(spark: SparkSession, path: str, sep: str = ",", skip_lines: int = 0, header: bool = True, infer: bool = True, sample: int | None = 100, multi_line: bool = False) -> DataFrame:
     """A CSV file, or several by a pattern, with voted types.
 
     Without a header the columns are ``col0``, ``col1`` and so on. ``skip_lines`` drops the first
-    lines of each file, before the header.
+    lines of each file, before the header. The types are voted by the first ``sample`` rows that
+    Spark reads, or by all rows with None. ``multi_line``: line breaks in quotes belong to the
+    value; a file is then read by one task. With ``skip_lines`` a row is always one line.
     """
-    options = {"sep": sep, "inferSchema": "false", "mode": "PERMISSIVE", "nullValue": "", "emptyValue": "", "quote": '"', "escape": '"'}
     if skip_lines:
-        lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-        first = lines.groupBy("file").agg(F.array_sort(F.slice(F.array_sort(F.collect_list(F.when(F.col("at") % (1 << 33) <= skip_lines, F.col("at")))), 1, skip_lines + 1)).alias("firsts"))
-        lines = lines.join(F.broadcast(first), "file")  # a few numbers for each file
-        names = [r for r in lines.where(F.col("at") == F.element_at("firsts", skip_lines + 1)).limit(1).select("value").collect()]
-        columns = next(_csv.reader([names[0]["value"].rstrip("\r")], delimiter=sep)) if names else []
-        body = lines.where(~F.array_contains("firsts", F.col("at")) | (F.lit(not header) & (F.col("at") == F.element_at("firsts", skip_lines + 1))))
-        heads = columns if header else [f"col{i}" for i in range(len(columns))]
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in heads])
-        parsed = body.where(F.trim("value") != "").select(F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ") if all(c.isidentifier() for c in heads) else ", ".join(f"`{c}` string" for c in heads), {"sep": sep, "quote": '"', "escape": '"'}).alias("r")).select("r.*")
-        return typed(parsed) if infer else parsed
+        df = _behind_lines(spark, path, sep, skip_lines, header)
+        return typed(df, sample) if infer else df
+    options = {"sep": sep, "inferSchema": "false", "mode": "PERMISSIVE", "nullValue": "", "emptyValue": "", "quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
     df = spark.read.options(**options).option("header", str(header).lower()).csv(path)
     if not header:
         df = df.toDF(*[f"col{i}" for i in range(len(df.columns))])
-    return typed(df) if infer else df
+    return typed(df, sample) if infer else df
+
+
+def _behind_lines(spark: SparkSession, path: str, sep: str, skip_lines: int, header: bool) -> DataFrame:
+    """The rows of files as text columns, without the first lines of each file."""
+    at = F.monotonically_increasing_id()  # lines of a file's first block follow each other in one task
+    lines = spark.read.text(path, lineSep="\n").select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("at"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    heads = lines.where("block = 0").withColumn("k", place).where(F.col("k") <= skip_lines + 1)
+    first = heads.where(F.col("k") == skip_lines + 1).orderBy("file").select("value").first()
+    names = next(_csv.reader([first["value"].rstrip("\r")], delimiter=sep)) if first else []
+    columns = names if header else [f"col{i}" for i in range(len(names))]
+    if not columns:
+        return spark.createDataFrame([], T.StructType([]))
+    last = heads.where(F.col("k") <= skip_lines + int(header)).groupBy("file").agg(F.max("at").alias("last"))  # one row for each file
+    body = lines.join(last, "file", "left").where((F.col("block") > 0) | (F.col("at") > F.col("last")) | F.col("last").isNull())
+    ddl = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
+    return body.where(F.trim("value") != "").select(F.from_csv(F.regexp_replace("value", r"\r\z", ""), ddl, {"sep": sep, "quote": '"', "escape": '"'}).alias("r")).select("r.*")
 
 
 def read_csv(spark: SparkSession, data: str, sep: str = ",", skip_lines: int = 0, header: bool = True) -> DataFrame:

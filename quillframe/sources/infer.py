@@ -1,7 +1,7 @@
 """Type inference over text columns: the type that four fifths of a sample agree on.
 
-Values that don't conform become null. Blanks don't vote. The vote is one aggregation over at
-most ``sample`` rows; the casts run in the plan.
+Values that don't conform become null. Blanks don't vote. The vote is one aggregation over the
+first ``sample`` rows, or over all with None; the casts run in the plan.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def read(c: Column, kind: str) -> Column:
     return c
 
 
-def vote(df: DataFrame, columns: Sequence[str], sample: int = 100) -> dict[str, str]:
+def vote(df: DataFrame, columns: Sequence[str], sample: int | None = 100) -> dict[str, str]:
     """The type of each text column; string where no other has four fifths of the votes."""
     aggs = []
     for i, name in enumerate(columns):
@@ -48,7 +48,7 @@ def vote(df: DataFrame, columns: Sequence[str], sample: int = 100) -> dict[str,
         ]
     if not aggs:
         return {}
-    row = df.limit(sample).agg(*aggs).first()
+    row = (df if sample is None else df.limit(sample)).agg(*aggs).first()
     kinds = {}
     for i, name in enumerate(columns):
         n = row[f"n{i}"]
@@ -60,7 +60,7 @@ def vote(df: DataFrame, columns: Sequence[str], sample: int = 100) -> dict[str,
     return kinds
 
 
-def typed(df: DataFrame, sample: int = 100, kinds: dict[str, str] | None = None) -> DataFrame:
+def typed(df: DataFrame, sample: int | None = 100, kinds: dict[str, str] | None = None) -> DataFrame:
     """All columns of a frame of text, with voted types (or the given ones)."""
     kinds = kinds if kinds is not None else vote(df, df.columns, sample)
     return df.select(*[read(blank(F.col(f"`{c}`")), kinds.get(c, "string")).alias(c) for c in df.columns])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .files import read_csv_file
 from .infer import blank, typed, vote
+from .scratch import delete_path, scratch_path
 
 _OPS: dict[str, Callable[[Column, Any], Column]] = {
     "=": lambda c, v: c == v,
@@ -86,20 +87,23 @@ class Scan:
     def for_each(self, chunk_rows: int, fn: Callable[[DataFrame], None], order_by: Sequence[str]) -> int:
         """Call ``fn`` with chunks of rows in order; the number of rows passed, to go on from with ``offset``.
 
-        A chunk is a range of positions, found once; for files that keep coming, see
+        The rows are numbered and dealt into a folder for each chunk in one pass, so that a chunk
+        reads its own rows only; for files that keep coming, see
         :func:`quillframe.streaming.for_each_batch`.
         """
         from ..operators.order import indexed
 
-        df = indexed(self.collect(), order_by, "__at").persist()
+        df = indexed(self.collect(), order_by, "__at").withColumn("__chunk", F.floor(F.col("__at") / chunk_rows))
+        path = scratch_path(self.spark, "chunks")
         try:
-            total, done = df.count(), 0
-            while done < total:
-                fn(df.where((F.col("__at") >= done) & (F.col("__at") < done + chunk_rows)).orderBy("__at").drop("__at"))
-                done = min(total, done + chunk_rows)
-            return done
+            df.repartition("__chunk").write.partitionBy("__chunk").parquet(path)
+            sizes = {r[0]: r[1] for r in self.spark.read.parquet(path).groupBy("__chunk").count().collect()}  # one row for each chunk
+            for k in sorted(sizes):
+                part = self.spark.read.schema(df.drop("__chunk").schema).parquet(f"{path}/__chunk={k}")
+                fn(part.orderBy("__at").drop("__at"))
+            return sum(sizes.values())
         finally:
-            df.unpersist()
+            delete_path(self.spark, path)
 
 
 def scan_csv(spark: SparkSession, path: str) -> Scan:

@@ -17,9 +17,16 @@ def for_each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], chec
 
     A later call with the same checkpoint goes on behind what was passed.
     """
-    query = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = 0
+
+    def counted(batch: DataFrame, number: int) -> None:
+        nonlocal rows
+        fn(batch, number)
+        rows += batch.count()
+
+    query = stream.writeStream.foreachBatch(counted).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return sum(int(p["numInputRows"]) for p in query.recentProgress)
+    return rows
 
 
 def write_stream(stream: DataFrame, path: str, checkpoint: str, format: str = "parquet", **options: str):
