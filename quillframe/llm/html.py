@@ -1,13 +1,13 @@
 """Main text of web pages from streaming parser events.
 
 The standard library's parser yields events; block elements cut the page into lines, each with
-its text and number of tags. The text-to-tag ratios are smoothed with a Gaussian; the lines at or
-above the threshold (the standard deviation) are high.
-
-Where the page has article or main elements, these are its regions, and the ratios only choose
-among several: the one with most text in high lines is kept whole. Elsewhere the high lines
-decide: from the first to the last that is high by itself, and what else their common container
-holds directly or in parts with such a line, so that short titles and last paragraphs stay.
+its text, its number of tags and how much of it is in links. The text-to-tag ratios are smoothed
+with a Gaussian; the lines at or above the threshold (the standard deviation) are high, and decide
+on every page: the region is that which holds most text in high lines. Regions are the article
+and main elements, and what is in none. An article or main element that is chosen is taken with
+its headings and short lines; elsewhere it goes from the first to the last line that is high by
+itself, with what else their common container holds directly or in parts with such a line.
+Runs of low lines that are nothing but links are menus, and left out.
 """
 
 from __future__ import annotations
@@ -40,7 +40,9 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, bool, tuple[int, ...]]] = []  # tag, outside the article, region, outside by names only, holders
-        self.lines: list[tuple[str, int, bool, int, tuple[int, ...]]] = []  # text, tags, outside, region, holders
+        self.lines: list[tuple[str, int, bool, int, tuple[int, ...], bool]] = []  # text, tags, outside, region, holders, all in links
+        self.count: dict[str, int] = {}  # open elements by tag
+        self.plain = False  # whether the line has text outside of links
         self.holders = 0
         self.parts: list[str] = []
         self.tags = 0
@@ -52,9 +54,10 @@ class _Page(HTMLParser):
     def _cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, *self._where(), self.open[-1][4] if self.open else ()))
+            self.lines.append((text, self.tags, *self._where(), self.open[-1][4] if self.open else (), not self.plain))
             self.tags = 0
         self.parts = []
+        self.plain = False
 
     def _outside(self, tag: str, attrs: list, region: int) -> bool:
         """Whether the element is outside by its tag or role."""
@@ -77,7 +80,7 @@ class _Page(HTMLParser):
         if tag in VOID:
             return
         if tag in ("p", "li") and self.open and self.open[-1][0] == tag:
-            self.open.pop()
+            self._close(len(self.open) - 1)
             outside, region = self._where()
         if tag in ("article", "main") and not region and by_name:  # the names of its ancestors don't count
             outside = by_name = False
@@ -89,6 +92,12 @@ class _Page(HTMLParser):
             self.holders += 1
             holders = (*holders, self.holders)
         self.open.append((tag, outside or leaves, region, by_name, holders))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def _close(self, at: int) -> None:
+        for element in self.open[at:]:
+            self.count[element[0]] -= 1
+        del self.open[at:]
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -96,17 +105,19 @@ class _Page(HTMLParser):
         self.tags += 1
 
     def handle_endtag(self, tag: str) -> None:
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1) if self.count.get(tag) else -1  # looks at what it closes only
         if tag in BLOCKS or at >= 0 and self.open[at][1]:
             self._cut()
         self.tags += 1
         if at >= 0:
-            del self.open[at:]
+            self._close(at)
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if not self.plain and not self.count.get("a") and not data.isspace():
+            self.plain = True
 
-    def finish(self) -> list[tuple[str, int, bool, int, tuple[int, ...]]]:
+    def finish(self) -> list[tuple[str, int, bool, int, tuple[int, ...], bool]]:
         self.close()
         self._cut()
         return self.lines
@@ -129,30 +140,32 @@ def main_text(html: str, sigma: float = 1.0, radius: int = 2) -> str:
     size = np.array([len(x[0]) for x in lines], float)
     ratio = np.where([x[2] for x in lines], 0.0, size / np.maximum(1, [x[1] for x in lines]))
     smooth = smoothed(ratio, sigma, radius)
-    high = smooth >= smooth.std()
+    threshold = smooth.std()
+    high = smooth >= threshold
     mass: dict[int, float] = {}
     for k in inside:
         mass[lines[k][3]] = mass.get(lines[k][3], 0.0) + (size[k] if high[k] else 0.0)
-    named = {r: m for r, m in mass.items() if r}
-    best = max(named or mass, key=lambda r: (mass[r], -r))
+    best = max(mass, key=lambda r: (mass[r], r > 0, -r))
     chosen = [k for k in inside if lines[k][3] == best]
     if best == 0:  # no element says where the article is
         # smoothing lifts the neighbours of long lines, so the lines that are high themselves say which container it is
-        peaks = [k for k in chosen if high[k] and ratio[k] >= smooth.std()] or [k for k in chosen if high[k]]
+        peaks = [k for k in chosen if high[k] and ratio[k] >= threshold] or [k for k in chosen if high[k]]
         if not peaks:
             return ""
         common = os.path.commonprefix([lines[k][4] for k in peaks])
         deep = len(common)
         parts = {lines[k][4][: deep + 1] for k in peaks} | {common}
         chosen = [k for k in chosen if peaks[0] <= k <= peaks[-1] or lines[k][4][: deep + 1] in parts]
-    return "\n".join(lines[k][0] for k in chosen)
+    menu = {k for a, b in zip(chosen, chosen[1:]) if max(ratio[a], ratio[b]) < threshold and lines[a][5] and lines[b][5] for k in (a, b)}
+    return "\n".join(lines[k][0] for k in chosen if k not in menu)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for each row, from the whole page.
 
     A null or empty page, or one without an article, has the empty text. Unclosed elements end
-    with their parent. Repeated rows stay repeated; an empty table gives an empty result.
+    with their parent. Repeated rows stay repeated; an empty table gives an empty result; other
+    columns are not read.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
