@@ -40,15 +40,16 @@ class Index:
     """The file of rules, mapped into memory."""
 
     def __init__(self, path: str):
-        head = np.memmap(path, np.int64, "r", 0, 4)
+        head = np.memmap(path, np.int64, "r", 0, 5)
         if head[0] != _MAGIC:
             raise ValueError(f"{path} is no file of rules")
-        n, lengths, blob = (int(x) for x in head[1:])
-        self.keys = np.memmap(path, np.uint64, "r", 32, n) if n else np.empty(0, np.uint64)
-        self.ends = np.memmap(path, np.int64, "r", 32 + 8 * n, n + 1)
-        at = 32 + 8 * n + 8 * (n + 1)
-        self.lengths = np.memmap(path, np.int64, "r", at, lengths) if lengths else np.empty(0, np.int64)
-        at += 8 * lengths
+        n, lengths, hosts, blob = (int(x) for x in head[1:])
+        self.keys = np.memmap(path, np.uint64, "r", 40, n) if n else np.empty(0, np.uint64)
+        self.ends = np.memmap(path, np.int64, "r", 40 + 8 * n, n + 1)
+        at = 40 + 8 * n + 8 * (n + 1)
+        self.lengths = np.memmap(path, np.int64, "r", at, lengths).tolist() if lengths else []  # of the rules' paths
+        self.hosts = np.memmap(path, np.int64, "r", at + 8 * lengths, hosts).tolist() if hosts else []  # of their hosts
+        at += 8 * (lengths + hosts)
         self.codes = np.memmap(path, np.uint8, "r", at, n) if n else np.empty(0, np.uint8)
         self.blob = np.memmap(path, np.uint8, "r", at + n, blob) if blob else np.empty(0, np.uint8)
 
@@ -63,22 +64,27 @@ class Index:
         order = sorted(kept, key=lambda r: (key_of(r), r))
         texts = [r.encode() for r in order]
         lengths = sorted({kept[r][1] for r in order})
+        hosts = sorted({len(r) - kept[r][1] for r in order})
         return b"".join(
             x.tobytes()
             for x in (
-                np.array([_MAGIC, len(order), len(lengths), sum(map(len, texts))], np.int64),
+                np.array([_MAGIC, len(order), len(lengths), len(hosts), sum(map(len, texts))], np.int64),
                 np.array([key_of(r) for r in order], np.uint64),
                 np.cumsum([0, *map(len, texts)]).astype(np.int64),
                 np.array(lengths, np.int64),
+                np.array(hosts, np.int64),
                 np.array([kept[r][0] for r in order], np.uint8),
             )
         ) + b"".join(texts)
 
     def candidates(self, host: str, path: str) -> list[str]:
-        """Every string that a fitting rule can have, the longest first; of equal length, the longer host first."""
-        starts = [0] + [i + 1 for i, c in enumerate(host) if c == "."] if host else []
-        found = [(len(host) - s + n, len(host) - s, host[s:] + path[:n]) for s in starts for n in self.lengths.tolist() if n <= len(path)]
-        return [x[2] for x in sorted(found, key=lambda x: (-x[0], -x[1]))]
+        """Every string that a fitting rule can have, the longest first; of equal length, the longer host first.
+
+        There are no more than the rules' lengths of hosts times those of paths, however long the URL is.
+        """
+        ends = [h for h in self.hosts if h == len(host) > 0 or 0 < h < len(host) and host[-h - 1] == "."]
+        found = [(h + n, h) for h in ends for n in self.lengths if n <= len(path)]
+        return [host[len(host) - h :] + path[: size - h] for size, h in sorted(found, reverse=True)]
 
     def find(self, wanted: list[str]) -> np.ndarray:
         """For each string the position of its rule, or -1."""
