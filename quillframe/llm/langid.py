@@ -98,12 +98,14 @@ class Filter:
         return self.languages[k], float(true[k] / true.sum()) if true.sum() > 0 else 0.0
 
 
-def fit_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 3000, lead: float = 3.0, bits: int = 20) -> Filter:
+def fit_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 3000, lead: float = 3.0, seen: int = 2, slots: int = 16) -> Filter:
     """A filter learnt from at most ``max_rows`` documents, those with the smallest hash of their id.
 
-    Their whole texts are counted on the executors. A language contains an n-gram when its rate
-    there is at least a ``lead``-th of the rate in the language where it is most frequent. Rows
-    without a text or language don't count; without any the filter knows no language.
+    Their whole texts are counted on the executors. A language contains an n-gram that the sample
+    has ``seen`` times in it or more (once says little: a name, a misprint) and whose rate there
+    is at least a ``lead``-th of the rate in the language where it is most frequent. The filter
+    has ``slots`` slots for each n-gram of the language with most, 2**20 at least. Rows without a
+    text or language don't count; without any the filter knows no language.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -120,11 +122,10 @@ def fit_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n)], names=["lang", "h", "n"])
 
     counted = rows.join(sample, "id").select("text", "lang").mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    found = counted.where("n >= 2").toArrow()  # bounded by the texts of max_rows documents
+    found = counted.where(F.col("n") >= seen).toArrow()  # bounded by the texts of max_rows documents
     languages = sorted(set(found.column("lang").to_pylist()))
-    out = Filter(languages, bits)
     if not languages:
-        return out
+        return Filter(languages)
     h = found.column("h").to_numpy().view(np.uint64)
     n = found.column("n").to_numpy().astype(float)
     code = np.searchsorted(np.array(languages, object), np.array(found.column("lang").to_pylist(), object))
@@ -132,8 +133,10 @@ def fit_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     keys, inverse = np.unique(h, return_inverse=True)
     top = np.zeros(len(keys))
     np.maximum.at(top, inverse, rate)
-    for k in range(len(languages)):
-        out.add(k, h[(code == k) & (rate * lead >= top[inverse])])
+    own = [h[(code == k) & (rate * lead >= top[inverse])] for k in range(len(languages))]
+    out = Filter(languages, max(20, (slots * max(map(len, own)) - 1).bit_length()))
+    for k, grams_of in enumerate(own):
+        out.add(k, grams_of)
     return out
 
 

@@ -24,6 +24,7 @@ _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np
 
 
 def _shape(token: str) -> str:
+    """The kind of a word, or how a run of punctuation begins: runs of three and more count as alike."""
     if not (token[0].isalnum() or token[0] == "_"):
         return token[:3]
     if token.isdigit():
