@@ -33,7 +33,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,28 +68,27 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-_CHUNK = "chunk long, ids array<long>, sizes array<long>, digests array<binary>, packed binary"
+_CHUNK = "ids array<long>, sizes array<long>, digests array<binary>, packed binary"
 
 
 def _chunks(chunk_bytes: int):
     """Documents as rows of up to ``chunk_bytes`` bytes of text (a longer one is a row of its own)."""
-    kind = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("packed", pa.binary())])
+    kind = pa.schema([("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 33
         ids: list[int | None] = []
         texts: list[bytes] = []
         size = 0
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([chunk], [ids], [list(map(len, texts))], [[hashlib.blake2b(t, digest_size=16).digest() for t in texts]], [zstandard.compress(b"".join(texts), 6)]), kind)], schema=kind)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([ids], [list(map(len, texts))], [[hashlib.blake2b(t, digest_size=16).digest() for t in texts]], [zstandard.compress(b"".join(texts), 6)]), kind)], schema=kind)
 
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1)):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if texts and size + len(data) > chunk_bytes:
                     yield made()
-                    chunk, ids, texts, size = chunk + 1, [], [], 0
+                    ids, texts, size = [], [], 0
                 ids.append(key.as_py())
                 texts.append(data)
                 size += len(data)
@@ -328,7 +326,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, chunk
         raise ValueError(f"length must be {COVER_OF + 7} at least")
     small_batches(spark, 16 << 20)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = written(source.mapInArrow(_chunks(chunk_bytes), _CHUNK), "suffix-chunks")
+    # numbered by Spark, as a task can run several partitions
+    chunks = written(source.mapInArrow(_chunks(chunk_bytes), _CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "suffix-chunks")
     ranges = max(16, int(chunks.count()) // 4)  # so a range has about as many names as four chunks
     short = length - COVER_OF + 1
 
