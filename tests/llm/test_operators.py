@@ -141,6 +141,26 @@ def test_urls(spark):
     assert urls.url_filter(spark, df.limit(0), rules).collect() == []
 
 
+def test_urls_odd(spark):
+    rules = [("block", "example.com", "/en/"), ("allow", "com", "/")]
+    dots, deep = "." * 300_000, "a." * 100_000 + "example.com"
+    rows = [(1, f"http://{dots}/x", "h"), (2, f"http://{deep}/en/" + "y" * 300_000, "h"), (None, None, "h"), (3, "", "h"), (3, "", "h"), (4, "http://", "h"), (5, "http:///en/", "h")]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string")
+    got = sorted(((r["page_id"], len(r["host"]), r["rule"], r["verdict"]) for r in urls.url_filter(spark, df, rules).collect()), key=str)
+    assert got == sorted([(1, 300_000, None, "allow"), (2, len(deep), "example.com/en/", "block"), (None, 0, None, "allow"), (3, 0, None, "allow"), (3, 0, None, "allow"), (4, 0, None, "allow"), (5, 0, None, "allow")], key=str)
+
+
+def test_url_candidates_against_all_suffixes(tmp_path):
+    rng = random.Random(2)
+    rules = [("block", ".".join(rng.choice("abc") for _ in range(rng.randint(1, 3))), "/" + rng.choice(["", "x", "xy/"])) for _ in range(30)]
+    (tmp_path / "index").write_bytes(urls.Index.pack(rules))
+    index, strings = urls.Index(str(tmp_path / "index")), {h + p for _, h, p in rules}
+    for _ in range(300):
+        host, path = ".".join(rng.choice("abc") for _ in range(rng.randint(1, 5))), "/" + rng.choice(["", "x", "xy", "xy/z"])
+        fits = [(len(h + p), len(h), h + p) for _, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert next((c for c in index.candidates(host, path) if c in strings), None) == (max(fits)[2] if fits else None)
+
+
 def test_url_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(urls, "key_of", lambda rule: 7)
     (tmp_path / "index").write_bytes(urls.Index.pack([("allow", "a", "/x"), ("block", "b", "/"), ("block", "c", "/yy")]))
@@ -408,9 +428,90 @@ def test_html_names():
     assert html.main_text(f"<nav><div class=menu><article><p>{long}</p></article></div></nav>") == ""
 
 
+def test_html_clusters_decide():
+    long = LONG_LINE.strip()
+    menu = "".join(f"<li><a href=/{k}>link {k}</a></li>" for k in range(6))
+    assert html.main_text(f"<article><h1>Top</h1><p>{long}</p><ul>{menu}</ul><p>{long}</p></article>") == f"Top\n{long}\n{long}"
+    assert html.main_text(f"<article><p>teaser</p></article><div><h1>Top</h1><p>{long}</p><p>{long}</p></div>") == f"Top\n{long}\n{long}"
+    assert html.main_text(f'<article class="social-science"><p>{long}</p><p><a href=x>one link</a></p><p>{long}</p></article>') == f"{long}\none link\n{long}"
+
+
+def test_html_ratios_against_plain_loops():
+    rng = random.Random(9)
+    for _ in range(30):
+        ratios = [rng.choice([0.0, rng.random() * 100]) for _ in range(rng.randint(1, 40))]
+        got = html.smoothed(np.array(ratios), 1.0, 2)
+        weights = [np.exp(-(k * k) / 2) for k in range(-2, 3)]
+        for i in range(len(ratios)):
+            near = [(w, ratios[i + k]) for k, w in zip(range(-2, 3), weights) if 0 <= i + k < len(ratios)]
+            assert got[i] == pytest.approx(sum(w * x for w, x in near) / sum(weights))
+
+
+def test_html_on_made_pages(spark):
+    """Pages of a known article, in several layouts; nearly all must come out to the letter."""
+    rng = random.Random(12)
+    pages, want = [], {}
+    for k in range(150):
+        body = [words(rng, rng.randint(2, 6))] + [words(rng, rng.randint(15, 90)) + "." for _ in range(rng.randint(3, 12))] + ["The end."]
+        inner = f"<h1>{body[0]}</h1>" + "".join(f"<p>{p}</p>" for p in body[1:])
+        links = "".join(f"<li><a href=/{j}>{words(rng, 1)}</a></li>" for j in range(rng.randint(3, 9)))
+        article = [f"<article>{inner}</article>", f"<main><div>{inner}</div></main>", f"<div><div>{inner}</div></div>"][k % 3]
+        outer = [f"<nav><ul>{links}</ul></nav>{article}<footer>about us</footer>", f"<div><ul>{links}</ul></div>{article}<div><a href=/>home</a></div>", f'{article}<div class="comments"><p>{words(rng, 30)}</p></div>'][k // 3 % 3]
+        pages.append((k, f"u{k}", f"<html><head><title>t</title><script>var x;</script></head><body>{outer}</body></html>", "clash"))
+        want[k] = "\n".join(body)
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string, text string")).collect()}
+    assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
+    deep = html.main_text("<div>" * 20_000 + "<p>" + LONG_LINE + "</p>" + "</span></b>" * 20_000)
+    assert deep == LONG_LINE.strip() and len(html.main_text("<p>" + "word " * 400_000 + "</p>")) == 1_999_999
+
+
 # classifiers
 
 
+def test_language_against_plain_sets(spark):
+    """The filter's decisions are those of exact sets, but for a false positive of the Bloom filter here and there."""
+    rng = random.Random(14)
+    kinds = {"aa": [a + b for a in "bdg" for b in ("an", "or", "i")], "bb": [a + b for a in "kpt" for b in ("ul", "esch", "ö")], "cc": [a + b for a in "bkz" for b in ("an", "ul", "ya")]}
+    rows = [(i, words(rng, 25, kinds[k]), k) for i, k in enumerate(["aa", "bb", "cc"] * 40)]
+    model = langid.fit_languages(spark, make(spark, rows[:90]))
+    counts = {k: {} for k in kinds}
+    for _, t, k in rows[:90]:
+        for h in langid.grams(t).tolist():
+            counts[k][h] = counts[k].get(h, 0) + 1
+    kept = {k: {h: n for h, n in c.items() if n >= 2} for k, c in counts.items()}
+    rate = {k: {h: n / sum(c.values()) for h, n in c.items()} for k, c in kept.items()}
+    top = {}
+    for c in rate.values():
+        for h, x in c.items():
+            top[h] = max(top.get(h, 0), x)
+    sets = {k: {h for h, x in c.items() if x * 3 >= top[h]} for k, c in rate.items()}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.detect_languages(spark, make(spark, rows), model).collect()}
+    want = {i: max(sorted(sets), key=lambda k: sum(h in sets[k] for h in langid.grams(t).tolist())) for i, t, _ in rows}
+    assert sum(got[i] == want[i] for i in want) >= len(want) - 1
+
+
+def test_quality_against_dense_training(spark):
+    rng = random.Random(15)
+    rows = [(i, words(rng, 30) if i % 2 else " ".join(w.upper() for w in words(rng, 30).split()), None) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    weights, bias = quality.fit_quality(spark, make(spark, rows), labels)
+    hasher = quality.Hasher()
+    order = [r["id"] for r in spark.range(60).select("id", F.xxhash64("id", F.lit(1)).alias("h")).orderBy("h", "id").collect()]
+    z, n, zb, nb = np.zeros(1 << quality.BITS), np.zeros(1 << quality.BITS), 0.0, 0.0
+    dense = lambda: np.where(np.abs(z) <= 0.02, 0.0, -(z - np.sign(z) * 0.02) / ((1 + np.sqrt(n)) / 0.3 + 0.1))
+    for _ in range(10):
+        for i in order:
+            x = np.zeros(1 << quality.BITS)
+            index, value = hasher.features(rows[i][1])
+            x[index] = value
+            w, b = dense(), -zb / ((1 + nb**0.5) / 0.3)
+            g = 1 / (1 + np.exp(-(w @ x + b))) - i % 2
+            step = np.sqrt(n + (g * x) ** 2) - np.sqrt(n)
+            z, n = z + g * x - step / 0.3 * w, n + (g * x) ** 2
+            zb, nb = zb + g - ((nb + g * g) ** 0.5 - nb**0.5) / 0.3 * b, nb + g * g
+    assert weights == pytest.approx(dense().astype(np.float32), abs=1e-4) and bias == pytest.approx(-zb / ((1 + nb**0.5) / 0.3), abs=1e-4)
+
+
 def test_language(spark):
     rng = random.Random(4)
     kinds = {"aa": [a + b for a in "bdg" for b in ("an", "or", "i")], "bb": [a + b for a in "kpt" for b in ("ul", "esch", "ö")]}

@@ -33,7 +33,7 @@ def test_stages(spark, folder):
     want = {r[0] for r in brute_exact([(r["doc_id"], r["text"]) for r in good.collect()]) if r[3]}
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
     apart = P.near(spark, kept, folder)
-    want = [k for k, _, c in brute_components([(r["doc_id"], r["text"]) for r in kept.collect()]) if k == c]
+    want = [k for k, _, c in brute_components([(r["doc_id"], r["text"]) for r in kept.collect()], 80, 5) if k == c]
     assert apart.columns == docs.columns and sorted(r["doc_id"] for r in apart.collect()) == sorted(want)
     clean = P.decontaminated(spark, apart, folder)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
@@ -67,6 +67,30 @@ def test_repeated_rows_stay_once(spark, folder):
     assert kept.count() == P.exact(spark, docs, folder).count()
 
 
+def test_odd_rows_in_every_stage(spark, folder):
+    """Null and repeated ids, very long texts, and columns named like those that the stages make."""
+    rng = random.Random(21)
+    texts = [words(rng, 40) for _ in range(6)]
+    leak = "leaked " + words(random.Random(2), 12) + " text"
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[2]), (3, texts[3]), (5, texts[3]), (5, texts[4]), (None, leak), (5, leak + " again"), (7, long), (8, long + " tail"), (9, None), (None, None), (10, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept_row string, kept_id string, row string, uid string, rate string, `a b` string"
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", "y", "z", "u", "r", "s") for i, t in rows], schema)
+    key = lambda df: sorted(((r["doc_id"], (r["text"] or "")[:60]) for r in df.collect()), key=str)
+    short = lambda pairs: sorted(((i, (t or "")[:60]) for i, t in pairs), key=str)
+    assert P.quality(spark, docs, folder).columns == docs.columns
+    kept = P.exact(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert key(kept) == short([(1, texts[0]), (None, texts[1]), (5, texts[2]), (3, texts[3]), (5, texts[4]), (None, leak), (5, leak), (7, long), (8, long), (9, None)])
+    apart = P.near(spark, docs, folder)
+    assert apart.columns == docs.columns
+    assert key(apart) == short([(1, texts[0]), (None, texts[1]), (5, texts[2]), (3, texts[3]), (5, texts[4]), (5, leak), (7, long), (9, None), (None, None), (10, "")])
+    clean = P.decontaminated(spark, docs, folder)
+    assert clean.columns == docs.columns and key(clean) == short([r for r in rows if not (r[1] or "").startswith("leaked")])
+    last = P.mixed(spark, docs, folder)
+    assert last.count() == len(rows) and set(docs.columns) < set(last.columns)
+
+
 def test_empty(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
