@@ -1,11 +1,24 @@
 """A dataframe engine on Spark: frames with a row order and an index over Spark's own plans."""
 
-from .build import SeriesBuilder, concat, parallel_info, series
-from .frame import Frame, Series
-from .index import ListIndex, MultiIndex, RangeIndex, default_index
-from .plans.expr import Expr, col, lit
-from .plans.lazy import LazyFrame
-from .plans.sql import SQLContext
+from importlib import import_module
+
 from .session import session
 
-__all__ = ["Expr", "Frame", "LazyFrame", "ListIndex", "MultiIndex", "RangeIndex", "SQLContext", "Series", "SeriesBuilder", "col", "concat", "default_index", "lit", "parallel_info", "series", "session"]
+_PLACES = {
+    "build": ("SeriesBuilder", "concat", "parallel_info", "series"),
+    "frame": ("Frame", "Series"),
+    "index": ("ListIndex", "MultiIndex", "RangeIndex", "default_index"),
+    "plans.expr": ("Expr", "col", "lit"),
+    "plans.lazy": ("LazyFrame",),
+    "plans.sql": ("SQLContext",),
+}
+_OF = {name: place for place, names in _PLACES.items() for name in names}
+
+__all__ = sorted([*_OF, "session"])
+
+
+def __getattr__(name: str):
+    """Names come when they are asked for, so that a part of the library loads no more than it needs."""
+    if name not in _OF:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f".{_OF[name]}", __name__), name)

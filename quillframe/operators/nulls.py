@@ -38,18 +38,18 @@ _NEAREST = (lambda c: F.last(c, ignorenulls=True), lambda past, own: F.coalesce(
 
 def fill_forward(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
     """Nulls become the last value before them."""
-    new = {f"__f{i}": (_edge(c, order_by, last=True), *_NEAREST) for i, c in enumerate(columns)}
+    new = {f"__f{i}": (_edge(c, order_by, last=True), *_NEAREST, F.last(c, ignorenulls=True)) for i, c in enumerate(columns)}
     return _replaced(running(df, order_by, new, partition_by), columns, "__f")
 
 
 def fill_backward(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
     """Nulls become the next value after them."""
-    new = {f"__f{i}": (_edge(c, order_by, last=False), *_NEAREST) for i, c in enumerate(columns)}
+    new = {f"__f{i}": (_edge(c, order_by, last=False), *_NEAREST, F.last(c, ignorenulls=True)) for i, c in enumerate(columns)}
     return _replaced(running(df, order_by, new, partition_by, backwards=True), columns, "__f")
 
 
 def _edge(column: str, order_by: Sequence[str], last: bool):
-    """The last or first value by the order keys, as an aggregate that is right in groups and in windows."""
+    """The last or first value by the order keys, as an aggregate of rows in no order."""
     key = F.when(F.col(column).isNotNull(), F.struct(*order_by))
     return F.max_by(column, key) if last else F.min_by(column, key)
 
@@ -78,8 +78,8 @@ def interpolate(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
         at = at.withColumn(f"__p{i}", F.when(F.col(c).isNotNull(), F.struct(F.col("__pos").alias("at"), F.col(c).cast("double").alias("v"))))
         made[i] = c
     marks = [f"__p{i}" for i in made]
-    back = {f"__a{i}": (F.max_by(m, F.when(F.col(m).isNotNull(), F.col("__pos"))), *_NEAREST) for i, m in zip(made, marks)}
-    ahead = {f"__b{i}": (F.min_by(m, F.when(F.col(m).isNotNull(), F.col("__pos"))), *_NEAREST) for i, m in zip(made, marks)}
+    back = {f"__a{i}": (F.max_by(m, F.when(F.col(m).isNotNull(), F.col("__pos"))), *_NEAREST, F.last(m, ignorenulls=True)) for i, m in zip(made, marks)}
+    ahead = {f"__b{i}": (F.min_by(m, F.when(F.col(m).isNotNull(), F.col("__pos"))), *_NEAREST, F.last(m, ignorenulls=True)) for i, m in zip(made, marks)}
     out = at
     if made:
         out = running(running(out, ["__pos"], back, partition_by), ["__pos"], ahead, partition_by, backwards=True)

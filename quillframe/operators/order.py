@@ -25,10 +25,10 @@ def keys_of(order_by: str | Sequence[str]) -> list[str]:
     return keys
 
 
-def window(order_by: str | Sequence[str], partition_by: Sequence[str] = ()) -> WindowSpec:
-    """A window in ascending order, nulls first."""
+def window(order_by: str | Sequence[str], partition_by: Sequence[str] = (), backwards: bool = False) -> WindowSpec:
+    """A window in ascending order, nulls first, or in the order back."""
     spec = Window.partitionBy(*partition_by) if partition_by else Window.partitionBy(F.lit(0))
-    return spec.orderBy(*[F.col(k).asc_nulls_first() for k in keys_of(order_by)])
+    return spec.orderBy(*[F.col(k).desc_nulls_last() if backwards else F.col(k).asc_nulls_first() for k in keys_of(order_by)])
 
 
 def cut_keys(df: DataFrame, keys: Sequence[str], buckets: int, n: int) -> Column | None:
@@ -120,19 +120,19 @@ def running(df: DataFrame, order_by: str | Sequence[str], columns: dict[str, tup
     in order, such as ``F.sum``; ``combine`` joins the value of the buckets before with the
     running one of the row's own bucket, either of which may be null. Without partition keys each
     bucket is worked out by itself, and a window over one row for each bucket says what comes
-    before it.
+    before it. A fourth item is another form of ``aggregate`` for rows that come in order.
+    Backwards is forwards in the order back, as a frame with an open end is worked out anew for
+    every row.
     """
     keys = keys_of(order_by)
-    frame = (0, Window.unboundedFollowing) if backwards else (Window.unboundedPreceding, 0)
+    so_far = lambda by: window(keys, by, backwards).rowsBetween(Window.unboundedPreceding, 0)
     if partition_by:
-        spec = window(keys, partition_by).rowsBetween(*frame)
-        return df.withColumns({k: agg.over(spec) for k, (agg, _, _) in columns.items()})
+        return df.withColumns({k: c[-1 if len(c) > 3 else 0].over(so_far(partition_by)) for k, c in columns.items()})
     dealt = bucketed(df, keys, bucket_rows)
-    spec = window(keys, [BUCKET]).rowsBetween(*frame)
-    out = dealt.withColumns({k: agg.over(spec) for k, (agg, _, _) in columns.items()})
-    totals = dealt.groupBy(BUCKET).agg(*[agg.alias(f"__t{i}") for i, (agg, _, _) in enumerate(columns.values())])
+    out = dealt.withColumns({k: c[-1 if len(c) > 3 else 0].over(so_far([BUCKET])) for k, c in columns.items()})
+    totals = dealt.groupBy(BUCKET).agg(*[c[0].alias(f"__t{i}") for i, c in enumerate(columns.values())])
     earlier = Window.partitionBy(F.lit(0)).orderBy(F.desc(BUCKET) if backwards else F.asc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    past = totals.select(BUCKET, *[merge(F.col(f"__t{i}")).over(earlier).alias(f"__t{i}") for i, (_, merge, _) in enumerate(columns.values())])
+    past = totals.select(BUCKET, *[c[1](F.col(f"__t{i}")).over(earlier).alias(f"__t{i}") for i, c in enumerate(columns.values())])
     joined = out.join(F.broadcast(past), BUCKET, "left")  # at most BUCKETS rows
-    made = {k: combine(F.col(f"__t{i}"), F.col(k)) for i, (k, (_, _, combine)) in enumerate(columns.items())}
+    made = {k: c[2](F.col(f"__t{i}"), F.col(k)) for i, (k, c) in enumerate(columns.items())}
     return joined.withColumns(made).drop(*[f"__t{i}" for i in range(len(columns))], BUCKET)

@@ -7,13 +7,17 @@ blocks of rows and running ones on buckets (see :mod:`.order`), so no task gets
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .agg import aggregate
-from .order import BUCKET_ROWS, indexed, plus, reaching, running, window
+from .order import BUCKET, BUCKET_ROWS, INDEX, indexed, plus, reaching, running, window, with_halo
 
 ROLLING = ("mean", "sum", "std", "var", "min", "max", "count", "median")
 
@@ -143,42 +147,41 @@ def cumulative(df: DataFrame, column: str, fn: str, order_by: Sequence[str], par
 def ewm_mean(df: DataFrame, column: str, order_by: Sequence[str], alpha: float | None = None, span: int | None = None, partition_by: Sequence[str] = (), name: str | None = None) -> DataFrame:
     """The exponentially weighted mean ``e = alpha v + (1 - alpha) e``, which starts anew after a null.
 
-    A run of values is swept in one go by a pandas function. With partition keys the runs are
-    those of a partition; without, a run may cross blocks: a block starts from the rows before it
-    whose weight still counts in a double.
+    Rows stream through a pandas function in the order of their partition, which passes on the
+    last mean, so a partition may be of any size. Without partition keys blocks of rows are the
+    partitions; a block starts from the rows before it whose weight still counts in a double.
     """
     if (alpha is None) == (span is None):
         raise ValueError("either alpha or span is wanted")
     alpha = alpha if alpha is not None else 2.0 / (span + 1)
     name = name or f"{column}_ewm"
-    import math
-
-    reach = 0 if alpha >= 1 else math.ceil(math.log(1e-18) / math.log(1 - alpha))
-    from pyspark.sql import types as T
-
-    from .order import BUCKET, INDEX, with_halo
-
-    def sweep(pdf, key):
-        pdf = pdf.sort_values(key, kind="stable")
-        out, mean = [], None
-        for v in pdf[column].tolist():
-            if v is None or v != v:
-                mean = None
-            else:
-                mean = float(v) if mean is None else alpha * float(v) + (1 - alpha) * mean
-            out.append(mean)
-        pdf[name] = out
-        pdf[name] = pdf[name].astype("float64")
-        return pdf
-
     if partition_by:
-        schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-        keys = list(order_by)
-        return df.groupBy(*partition_by).applyInPandas(lambda pdf: sweep(pdf, keys), schema)
+        return _swept(df, column, list(partition_by), list(order_by), alpha, name)
+    reach = 0 if alpha >= 1 else math.ceil(math.log(1e-18) / math.log(1 - alpha))
     halo = with_halo(indexed(df, order_by), reach)
-    schema = T.StructType([*halo.schema.fields, T.StructField(name, T.DoubleType())])
-    out = halo.groupBy(BUCKET).applyInPandas(lambda pdf: sweep(pdf, [INDEX]), schema)
-    return out.where("not __halo").drop("__halo", BUCKET, INDEX)
+    return _swept(halo, column, [BUCKET], [INDEX], alpha, name).where("not __halo").drop("__halo", BUCKET, INDEX)
+
+
+def _swept(df: DataFrame, column: str, keys: list[str], order: list[str], alpha: float, name: str) -> DataFrame:
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, mean = None, math.nan
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            if not len(pdf):
+                continue
+            key = pd.util.hash_pandas_object(pdf[keys], index=False)
+            values = pdf[column].astype("float64")
+            runs = (values.isna() | (key != key.shift())).cumsum()
+            out = values.groupby(runs).ewm(alpha=alpha, adjust=False).mean().droplevel(0).reindex(pdf.index).where(values.notna())
+            if key[0] == last_key and mean == mean and values.notna()[0]:  # the first run goes on
+                first = int((runs == runs[0]).sum())
+                out[:first] += (1 - alpha) ** np.arange(1, first + 1) * (mean - values[0])
+            last_key, mean = key.iloc[-1], out.iloc[-1]
+            pdf[name] = out
+            yield pdf
+
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *[F.col(k).asc_nulls_first() for k in order])
+    return dealt.mapInPandas(sweep, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 RANKS = ("average", "min", "max", "first", "dense")

@@ -71,3 +71,30 @@ def test_queries_leave_the_views_of_the_session(spark):
     assert tuple(out.first()) == (5, 7.0)
     assert spark.table("cust").count() == 3
     spark.catalog.dropTempView("cust")
+
+
+def test_ewm_streams_over_batches(spark):
+    from quillframe.operators import window as W
+
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 1.0, 5.0, -2.0, 8.0, 3.5])) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, k string, x double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["i"]: r["w"] for r in W.ewm_mean(df, "x", ["i"], alpha=0.3, partition_by=["k"], name="w").collect()}
+        whole = {r["i"]: r["w"] for r in W.ewm_mean(df, "x", ["i"], span=4, name="w").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+    def plain(own, alpha):
+        mean, out = None, {}
+        for i, _, x in own:
+            mean = None if x is None else x if mean is None else alpha * x + (1 - alpha) * mean
+            out[i] = mean
+        return out
+
+    want = {i: v for k in ("a", "b", None) for i, v in plain([r for r in rows if r[1] == k], 0.3).items()}
+    for found, wanted in ((got, want), (whole, plain(rows, 0.4))):
+        for i in wanted:
+            assert found[i] is None and wanted[i] is None or found[i] == pytest.approx(wanted[i])
