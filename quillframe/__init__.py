@@ -8,6 +8,7 @@ _PLACES = {
     "build": ("SeriesBuilder", "concat", "parallel_info", "series"),
     "frame": ("Frame", "Series"),
     "index": ("ListIndex", "MultiIndex", "RangeIndex", "default_index"),
+    "names": ("AggFunc", "JoinType", "ResampleFunc"),
     "plans.expr": ("Expr", "col", "lit"),
     "plans.lazy": ("LazyFrame",),
     "plans.sql": ("SQLContext",),

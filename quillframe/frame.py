@@ -21,6 +21,7 @@ from .functions import strings as S
 from .functions import temporal as TM
 from .functions.categorical import Categorical
 from .functions.types import from_spark, numeric_columns
+from .index import ListIndex
 from .operators import agg as A
 from .operators import join as J
 from .operators import nulls as NU
@@ -442,6 +443,26 @@ class Series:
     def to_list(self) -> list:
         return [r[0] for r in self.data().collect()]
 
+    def at(self, i: int) -> Any:
+        """The value at a position, as bool, int, float, text or time by the series' type; null is None."""
+        found = self.take([i]).collect()
+        if not found:
+            raise IndexError(i)
+        return found[0][0]
+
+    def labels(self, most: int = 1_000_000) -> ListIndex:
+        """The values as an index that the program holds; more than ``most`` are an error."""
+        values = [r[0] for r in self.data().limit(most + 1).collect()]
+        if len(values) > most:
+            raise ValueError(f"{self.name} has more than {most} values")
+        kind = self.dtype()
+        return ListIndex(tuple(values), kind if kind in ("int64", "timestamp") else "string")
+
+    def display(self, top: int = 10, bottom: int = 3) -> str:
+        """A table of the first and last values, with the type."""
+        own = Frame(self._frame().withColumnRenamed(self.name, "__own").withColumnRenamed("__x", self.name).select(self.name, *[k for k in self.frame.order if k != self.name]), tuple(k for k in self.frame.order if k != self.name))
+        return f"{own.select(self.name).display(top, bottom)}\n{self.name}: {self.dtype()}"
+
     def _scalar(self, column: Column) -> Any:
         return self._frame().agg(column).first()[0]
 

@@ -15,6 +15,7 @@ from ..functions import temporal as TM
 from ..functions import types as TY
 from ..functions.categorical import Categorical
 from ..index import ListIndex, MultiIndex, RangeIndex, default_index
+from ..names import AggFunc, JoinType, ResampleFunc
 from ..operators import select as SE
 from ..operators import timegroup as TG
 from ..operators import window as W
@@ -105,6 +106,14 @@ def series_cat(spark, d):
     return _rows(spark, "names string", (_frame(spark, d, "nation", "n_nationkey")["n_name"].cat(", "),))
 
 
+@query("SELECT 3 AS labels, 'n_name: string' AS shown, n_name AS third, 'inner mean sum' AS names FROM nation WHERE n_nationkey = 2")
+def series_values(spark, d):
+    f = _frame(spark, d, "nation", "n_nationkey")
+    text = f["n_name"].display(2, 1)
+    few = f.filter(f["n_nationkey"].lt(3))["n_nationkey"].labels()
+    return _rows(spark, "labels int, shown string, third string, names string", (len(few), text.splitlines()[-1], f["n_name"].at(2), f"{JoinType.INNER} {AggFunc.MEAN} {ResampleFunc.SUM}"))
+
+
 # expressions
 
 
