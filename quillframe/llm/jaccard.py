@@ -273,7 +273,8 @@ def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_levels(source: DataFrame, width: int, often: int) -> tuple[np.ndarray, int]:
     """The class of each slot (the logarithm of its counter) and the class from which tokens are frequent.
 
-    Frequent are tokens of slots with at least ``often`` more documents than the median slot.
+    Frequent are tokens of slots with at least ``often`` more documents than the median slot: up
+    to about the size of a cell, comparing a list costs less than indexing its sets by pairs.
     """
     kind = "block int, part int, counts binary"
     partial = source.select("text").mapInArrow(_count_slots(width), kind).repartition(64, "block", "part").mapInArrow(_add_slots, kind)
@@ -325,14 +326,25 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _blocks(width: int, percent: int):
-    """Links between the components of each block; rows of a block stand together."""
+    """Links between the components of each block, from the smallest label to the others; rows of a block stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         block, sets, known = None, [], []
 
         def linked() -> list[tuple[int, int]]:
-            return [(known[i], known[j]) for i, j in link_block(sets, percent, known)] if len(sets) > 1 else []
+            root: dict[int, int] = {}
+
+            def of(x: int) -> int:
+                while x in root:
+                    x = root[x]
+                return x
+
+            for i, j in link_block(sets, percent, known) if len(sets) > 1 else ():
+                low, high = sorted((of(known[i]), of(known[j])))
+                if low != high:
+                    root[high] = low
+            return [(of(x), x) for x in root]
 
         for batch in slices(batches, 256):
             out: list[tuple[int, int]] = []
@@ -528,7 +540,7 @@ def _open(entry: DataFrame, label: DataFrame | None) -> DataFrame:
     return named.join(mixed.hint("merge"), "key", "left_semi")
 
 
-def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = 4, often: int = 256, pairs_up_to: int = 1000, block_from: int = 16, block_rows: int = 512, turns: int = 2, cell_rows: int = 2048, family_rows: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_components(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = 4, often: int = 2048, pairs_up_to: int = 1000, block_from: int = 16, block_rows: int = 512, turns: int = 2, cell_rows: int = 2048, family_rows: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``; other columns are not read.
 
     A text's set: its distinct shingles of ``width`` words, A-Z lower-cased, words being what
@@ -557,7 +569,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, percent: int = 80,
     It is the one with the smallest id, null ids last, and of rows that repeat it the first as
     Spark numbers them. Rows without words all stay.
     """
-    settings = dict(often=256, pairs_up_to=1000, block_from=16, block_rows=512, turns=2, cell_rows=2048, family_rows=1 << 14) | costs
+    settings = dict(often=2048, pairs_up_to=1000, block_from=16, block_rows=512, turns=2, cell_rows=2048, family_rows=1 << 14) | costs
     rows, member = _linked(spark, docs, percent, width, *settings.values(), id_col, text_col, carry=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first")
     worded = rows.where("n > 0").select("doc_id", "uid", "digest").groupBy("digest").agg(first)  # of equal sets, then of components
@@ -627,16 +639,16 @@ def _linked(spark: SparkSession, docs: DataFrame, percent: int, width: int, ofte
         dealt = written(home.join(salts, "home").select("cls", "label", F.xxhash64("home", F.pmod(F.xxhash64("cls", F.lit(turn)), "salts")).alias("block")), "jaccard-dealt", per_core=1)
         block = texts.join(dealt.hint("merge"), "cls").select("block", "label", "packed").repartition("block").sortWithinPartitions("block")
         found = written(block.mapInArrow(_blocks(width, percent), "a long, b long").distinct(), "jaccard-links", per_core=1)
-        label = written(_merged(label, components(found)), "jaccard-labels", per_core=1)
+        # a class is in one block, and at first a component of its own, so these links say the components
+        joined = components(found) if turn else found.select(F.col("b").alias("node"), F.col("a").alias("label")).union(found.select("a", "a")).distinct()
+        label = written(_merged(label, joined), "jaccard-labels", per_core=1)
         attributes = attributes.join(dealt.select("cls", F.col("block").alias(f"block{turn}")).hint("merge"), "cls", "left").fillna(0, [f"block{turn}"])
-        del own, home, salts, dealt, block, found
+        del own, home, salts, dealt, block, found, joined
         free_shuffles(spark)
     del texts, hot
 
     # The candidates of lists with several components.
     mixed = _open(entry, label)
-    if label is None:
-        mixed = _labelled(entry, None)
     whole = mixed.where(F.col("m") <= cell_rows).select("fam", F.lit(0).cast("long").alias("part"), "key", "cls", "label", F.lit(0).alias("side"))
     long = mixed.where(F.col("m") > cell_rows)
     largest = long.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"))
