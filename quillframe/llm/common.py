@@ -47,6 +47,7 @@ def written(df: DataFrame, name: str, per_core: int | None = None) -> DataFrame:
     deleted after all plans that read it are gone (see :func:`sweep`).
     """
     spark = df.sparkSession
+    spark._jvm.System.gc()  # plans are large: without it the driver's heap grows to its limit
     sweep(spark)
     path = shared_path(spark, name)
     if per_core:

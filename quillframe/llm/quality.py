@@ -102,8 +102,7 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col:
     label. Without labelled documents the weights are 0 and every score is 0.5.
     """
     labelled = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    chosen = [(r["id"], r["label"]) for r in labelled.orderBy(F.xxhash64("id"), "id").limit(max_rows).collect()]
-    sample = F.broadcast(spark.createDataFrame(chosen, "id long, label int"))  # max_rows rows of two numbers
+    sample = F.broadcast(labelled.orderBy(F.xxhash64("id"), "id").limit(max_rows))  # max_rows rows of two numbers
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -119,11 +118,21 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col:
         .join(sample, "id")
         .select("id", "label", "text")
         .mapInArrow(extract, "id long, label int, index binary, value binary")
-        .orderBy(F.xxhash64("id", F.lit(1)), "id", "index")
-        .toArrow()
+        .withColumn("turn", F.xxhash64("id", F.lit(1)))
     )
-    columns = (rows.column("index").to_pylist(), rows.column("value").to_pylist(), rows.column("label").to_pylist())
-    return ftrl([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for i, v, y in zip(*columns)])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = []
+        for batch in batches:
+            columns = (batch.column(k).to_pylist() for k in range(3))
+            examples += [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for i, v, y in zip(*columns)]
+        weights, bias = ftrl(examples)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
+
+    # one task learns, from max_rows documents
+    ordered = rows.repartition(1).sortWithinPartitions("turn", "id", "index").select("index", "value", "label")
+    row = ordered.mapInArrow(train, "weights binary, bias double").first()
+    return (np.frombuffer(row["weights"], np.float32), row["bias"]) if row else ftrl([])
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
