@@ -109,8 +109,7 @@ def fit_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(max_rows).collect()
-    sample = F.broadcast(spark.createDataFrame([(i,) for i in dict.fromkeys(r["id"] for r in ids)], "id long"))  # max_rows numbers at most
+    sample = F.broadcast(rows.select("id").orderBy(F.xxhash64("id"), "id").limit(max_rows).distinct())  # max_rows numbers at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):

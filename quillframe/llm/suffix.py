@@ -333,7 +333,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, chunk
 
     row = F.posexplode(F.arrays_zip("ids", "digests")).alias("place", "row")
     own = chunks.select("chunk", row).select("chunk", "place", F.coalesce("row.ids", F.lit(_LAST)).alias("id"), F.col("row.digests").alias("digest"))
-    least = own.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    # written, so that a join with a digest of many copies can be split
+    least = written(own.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"), "suffix-least", per_core=1)
     copies = written(own.join(least, "digest").where("id > least").groupBy("chunk").agg(F.collect_list("place").alias("copies")), "suffix-copies", per_core=1)
 
     def met(runs: DataFrame, answer, name: str) -> DataFrame:
