@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stats import quantiles
+
 AGGREGATES = ("sum", "mean", "median", "min", "max", "count", "std", "var", "first", "last", "nunique")
 _NUMERIC_ONLY = frozenset(("sum", "mean", "median", "std", "var"))
 
@@ -78,6 +80,9 @@ def agg(df: DataFrame, keys: Sequence[str], aggs, order_by: Sequence[str] = ())
     columns = [result(f, c, df.schema[c].dataType, order_by).alias(f"{c}_{f}") for c, f in wanted if not (f == "median" and c in medians)]
     out = df.groupBy(*keys).agg(*columns or [F.count(F.lit(1)).alias("__rows")])
     for c in medians:
+        if not keys:
+            out = out.withColumn(f"{c}_median", F.lit(quantiles(df, {c: [0.5]})[c][0]))
+            continue
         found = group_quantiles(df, keys, c, [0.5]).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("q")[0].alias("__median"))
         on = F.lit(True)
         for k in keys:
@@ -94,19 +99,14 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], column: str, at: Sequenc
     """
     x = F.col(column).cast("double")
     counts = df.where(x.isNotNull()).groupBy(*keys, x.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("__upto", F.sum("__n").over(by.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
-    ends = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
-    renamed = ends.select(*[F.col(k).alias(f"__e_{k}") for k in keys], "__all")
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__e_{k}"))
-    joined = ranked.join(renamed, on)
+    by = Window.partitionBy(*keys).orderBy("__v")
+    n = F.sum("__n")
+    ranked = counts.select(*keys, "__v", n.over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"), n.over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))
     parts = []
     for i, p in enumerate(at):
         rank = F.lit(float(p)) * (F.col("__all") - 1)
         parts += [F.min(F.when(F.col("__upto") > F.floor(rank), F.col("__v"))).alias(f"__l{i}"), F.min(F.when(F.col("__upto") > F.ceil(rank), F.col("__v"))).alias(f"__h{i}"), F.first(rank - F.floor(rank)).alias(f"__f{i}")]
-    found = joined.groupBy(*keys).agg(*parts)
+    found = ranked.groupBy(*keys).agg(*parts)
     between = [F.when(F.col(f"__l{i}") == F.col(f"__h{i}"), F.col(f"__l{i}")).otherwise(F.col(f"__l{i}") * (1 - F.col(f"__f{i}")) + F.col(f"__h{i}") * F.col(f"__f{i}")) for i in range(len(at))]
     return found.select(*keys, F.array(*between).alias("q"))
 
