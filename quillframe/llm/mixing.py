@@ -91,11 +91,16 @@ def with_membership(docs: DataFrame, model: Domains, text_col: str = "text") ->
 
 
 def rate_of(model: Domains, steps: list[list[float]]) -> Column:
-    """The rate of a row with posteriors: from 1 by each step, projected onto the nonnegative each time."""
-    rate = F.lit(1.0)
-    for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"`p_{d}`") * F.lit(float(x)) for d, x in zip(model.names, step)), F.lit(0.0)))
-    return rate
+    """The rate of a row with posteriors: from 1 by each step, projected onto the nonnegative each time.
+
+    The steps are one literal that the row folds, so the plan is as small for sixty as for two:
+    nested expressions fill the driver's heap with plans, and their code outgrows the compiler.
+    """
+    if not steps:
+        return F.lit(1.0)
+    table = F.lit([[float(x) for x in step] for step in steps])
+    shares = [F.col(f"`p_{d}`") for d in model.names]
+    return F.aggregate(table, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate - sum((p * F.get(step, k) for k, p in enumerate(shares)), F.lit(0.0))))
 
 
 def fit_rates(members: DataFrame, model: Domains, targets: dict[str, float], budget: float | None = None, tolerance: float = 1e-7, most: int = 60) -> list[list[float]]:
@@ -119,8 +124,9 @@ def fit_rates(members: DataFrame, model: Domains, targets: dict[str, float], bud
 
     def at(steps: list[list[float]], *more: Column) -> list[float]:
         """The expected tokens at these rates, and the move of the last step."""
-        rate, before = rate_of(model, steps), rate_of(model, steps[:-1])
-        row = members.agg(*[F.sum(share * rate * x) for x in p], F.sum(share * (rate - before) * (rate - before)), *more).first()
+        rated = members.withColumns({"_rate": rate_of(model, steps), "_before": rate_of(model, steps[:-1])})  # worked out once a row, for all sums
+        rate, move = F.col("_rate"), F.col("_rate") - F.col("_before")
+        row = rated.agg(*[F.sum(share * rate * x) for x in p], F.sum(share * move * move), *more).first()
         return [float(x) for x in row]
 
     first = at([], *[F.sum(share * p[i] * p[j]) for i in range(k) for j in range(k)])

@@ -610,3 +610,19 @@ def test_mixing_reports_a_gap(spark):
         warnings.simplefilter("error", RuntimeWarning)
         mixing.fit_rates(members, model, {"x": 0.1, "y": 0.9})
         mixing.fit_rates(members, model, {"x": 0.9, "y": 0.1}, budget=500.0)
+
+
+def test_mixing_plans_do_not_grow_with_the_steps(spark):
+    model = mixing.Domains(["x", "y"], [0.0, 0.0], [[0.0], [0.0]])
+    members = spark.createDataFrame([(0.9, 0.1), (0.2, 0.8), (0.5, 0.5)], "p_x double, p_y double")
+    steps = [[0.1 * ((k % 5) - 2), 0.03 * (k % 3)] for k in range(60)]
+    nodes = {}
+    for n in (0, 1, 2, 60):
+        rated = members.withColumn("rate", mixing.rate_of(model, steps[:n]))
+        nodes[n] = rated._jdf.queryExecution().optimizedPlan().toString().count("greatest")
+        for row in rated.collect():
+            want = 1.0
+            for x, y in steps[:n]:
+                want = max(0.0, want - (row["p_x"] * x + row["p_y"] * y))
+            assert abs(row["rate"] - want) < 1e-12
+    assert nodes[60] == nodes[2] <= 2
