@@ -125,7 +125,7 @@ def excel_file(spark, d):
 
 @query("SELECT S_SUPPKEY, S_NAME, S_ACCTBAL FROM (SELECT s_suppkey AS S_SUPPKEY, s_name AS S_NAME, s_acctbal AS S_ACCTBAL FROM supplier)")
 def database_table(spark, d):
-    """An embedded database; where Spark is distributed, name a server."""
+    """An embedded database, which in a cluster only the driver reads and writes."""
     url, driver = f"jdbc:derby:memory:{scratch_path(spark, 'db').rsplit('-', 1)[-1]};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
     DB.write_sql(t(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), url, "suppliers", driver)
     return DB.read_sql(spark, url, 'SELECT "s_suppkey" AS S_SUPPKEY, "s_name" AS S_NAME, "s_acctbal" AS S_ACCTBAL FROM suppliers', driver)

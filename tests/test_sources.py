@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +107,44 @@ def test_database(spark, tmp_path):
     assert database.column_types(df) == "id BIGINT, v DOUBLE PRECISION, b BOOLEAN"
 
 
+def test_embedded_database_by_the_driver(spark, tmp_path, monkeypatch):
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    url = f"jdbc:derby:{tmp_path}/own;create=true"
+    assert not database.only_driver(spark, url)
+    monkeypatch.setattr(database, "only_driver", lambda spark, url: True)
+    monkeypatch.setattr(database, "CHUNK_ROWS", 7)
+    rows = [(k, None if k % 3 else k / 4, f"t {k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "id int, v double, t string").repartition(3)
+    database.write_sql(df, url, "things", driver, createTableColumnTypes="t varchar(20)")
+    read = lambda q: sorted(tuple(r) for r in database.read_sql(spark, url, q, driver).collect())
+    assert read('SELECT "id", "v", "t" FROM things') == rows
+    assert read('SELECT "id" FROM things WHERE "id" < 0') == []
+    database.write_sql(df, url, "things", driver)
+    assert read('SELECT "id", "v", "t" FROM things') == sorted(rows * 2, key=lambda r: r[0])
+    database.write_sql(df, url, "things", driver, mode="ignore")
+    assert read("SELECT count(*) AS n FROM things") == [(100,)]
+    database.write_sql(df.where("id < 5"), url, "things", driver, mode="overwrite")
+    assert read("SELECT count(*) AS n FROM things") == [(5,)]
+
+
+def test_database_table_on_executors(tmp_path):
+    """A cluster of two processes, in which executors have no database of the driver's."""
+    script = (
+        "import sys; from pyspark.sql import SparkSession; from quillframe.plans import catalog\n"
+        "c = {'spark.master': 'local-cluster[2,1,1024]', 'spark.executor.memory': '600m', 'spark.ui.enabled': 'false', 'spark.driver.host': '127.0.0.1', 'spark.checkpoint.dir': 'file://' + sys.argv[1] + '/shared'}\n"
+        "s = SparkSession.builder.config(map=c).getOrCreate()\n"
+        "print('rows', catalog.QUERIES['database_table'](s, '/root/testdata/sf0.001').count()); s.stop()\n"
+    )
+    home = tmp_path / "home"  # executors' logs go to Spark's home
+    home.mkdir()
+    for p in Path(pyspark.__file__).parent.iterdir():
+        (home / p.name).symlink_to(p)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK", "SPARK"))}
+    env |= {"PYTHONPATH": str(Path(__file__).resolve().parents[1]), "PYSPARK_PYTHON": sys.executable, "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}
+    done = subprocess.run([sys.executable, "-c", script, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows 10\n" in done.stdout, done.stderr[-2000:]
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "src")
     rows = spark.range(20).select("id", F.timestamp_seconds(F.col("id") * 1800).alias("ts"))
