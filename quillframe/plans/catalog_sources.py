@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,9 +166,11 @@ def scan_parquet_part(spark, d):
 
 @query("SELECT k AS chunk, count(*) AS n, min(event_id) AS low, max(event_id) AS high FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 300 AS k FROM events WHERE value > 20) GROUP BY 1")
 def scan_chunks(spark, d):
-    seen = []
-    scan_parquet(spark, f"{d}/events.parquet").filter("value", ">", 20).for_each(300, lambda df: seen.append((len(seen), *df.agg(F.count("*"), F.min("event_id"), F.max("event_id")).first())), ["event_id"])
-    return spark.createDataFrame(seen, "chunk long, n long, low long, high long")
+    def bounds(k: int, rows: pa.Table) -> pa.Table:
+        ends = pc.min_max(rows["event_id"]).as_py()
+        return pa.table({"chunk": [k], "n": [rows.num_rows], "low": [ends["min"]], "high": [ends["max"]]})
+
+    return scan_parquet(spark, f"{d}/events.parquet").filter("value", ">", 20).map_chunks(300, bounds, "chunk long, n long, low long, high long", ["event_id"])
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")

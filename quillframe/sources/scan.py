@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,11 +90,10 @@ class Scan:
 
         The rows are numbered and dealt into a folder for each chunk in one pass, so that a chunk
         reads its own rows only; for files that keep coming, see
-        :func:`quillframe.streaming.for_each_batch`.
+        :func:`quillframe.streaming.for_each_batch`. The calls follow each other on the driver,
+        each with jobs of its own, so it is for few chunks; for many see :meth:`map_chunks`.
         """
-        from ..operators.order import indexed
-
-        df = indexed(self.collect(), order_by, "__at").withColumn("__chunk", F.floor(F.col("__at") / chunk_rows))
+        df = self._chunked(chunk_rows, order_by)
         path = scratch_path(self.spark, "chunks")
         try:
             df.repartition("__chunk").write.partitionBy("__chunk").parquet(path)
@@ -105,6 +105,26 @@ class Scan:
         finally:
             delete_path(self.spark, path)
 
+    def map_chunks(self, chunk_rows: int, fn: Callable[[int, pa.Table], pa.Table], schema: str, order_by: Sequence[str]) -> DataFrame:
+        """The rows that ``fn`` makes of each chunk, for any number of chunks.
+
+        ``fn`` gets the number of the chunk, from 0, and its rows in order as an Arrow table; it
+        runs on the executors, on many chunks at a time, and must fit a chunk into a worker's
+        memory. ``schema``: what it returns.
+        """
+        df = self._chunked(chunk_rows, order_by)
+
+        def apply(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+            return fn(key[0].as_py(), rows.sort_by("__at").drop_columns(["__at", "__chunk"]))
+
+        return df.groupBy("__chunk").applyInArrow(apply, schema)
+
+    def _chunked(self, chunk_rows: int, order_by: Sequence[str]) -> DataFrame:
+        """The rows with ``__at``, their place in the order, and ``__chunk``."""
+        from ..operators.order import indexed
+
+        return indexed(self.collect(), order_by, "__at").withColumn("__chunk", F.floor(F.col("__at") / chunk_rows))
+
 
 def scan_csv(spark: SparkSession, path: str) -> Scan:
     return Scan(spark, path, "csv")

@@ -7,6 +7,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pyspark
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,20 @@ def test_csv_scan(spark, tmp_path):
     assert seen == [[31, 32, 33, 34], [35, 36, 37, 38], [39]]
 
 
+def test_chunks_on_executors(spark, tmp_path):
+    spark.range(20_000).select(F.pmod(F.col("id") * 7919, F.lit(20_000)).alias("id"), (F.col("id") % 10).alias("v")).repartition(5).write.parquet(str(tmp_path / "p"))
+    scan = scan_parquet(spark, str(tmp_path / "p")).filter("v", "<", 8).select("id")
+    kept = sorted(r["id"] for r in scan.collect().collect())
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chunks", "")
+    made = scan.map_chunks(7, lambda k, rows: pa.table({"chunk": [k], "ids": [rows["id"].to_pylist()]}), "chunk long, ids array<bigint>", ["id"])
+    found = {r["chunk"]: r["ids"] for r in made.collect()}
+    assert found == {k: kept[7 * k : 7 * k + 7] for k in range(-(-len(kept) // 7))}
+    assert len(jobs.getJobIdsForGroup("chunks")) < 40  # not some for each of 2,286 chunks
+    nothing = scan.filter("id", "<", 0).map_chunks(7, lambda k, rows: rows, "id long", ["id"])
+    assert nothing.count() == 0
+
+
 def test_excel(spark, tmp_path):
     path = f"file://{tmp_path}/b.xlsx"
     df = spark.createDataFrame([("a & <b>", 1, 1.5, True), (None, 2, None, False)], "t string, n long, f double, b boolean")
